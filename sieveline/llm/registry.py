@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from sieveline.llm.language_id import op4_language_id
+from sieveline.llm.quality import op6_quality_classifier
 from sieveline.llm.secret_scan import op7_secret_scan
 
 QUERIES = {
     "op4_language_id": op4_language_id,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_secret_scan": op7_secret_scan,
 }
 
