@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from sieveline.llm.language_id import op4_language_id
-from sieveline.llm.quality import op6_quality_classifier
-from sieveline.llm.secret_scan import op7_secret_scan
+from sieveline.llm import chat_format, language_id, quality, secret_scan, url_filter
 
 QUERIES = {
-    "op4_language_id": op4_language_id,
-    "op6_quality_classifier": op6_quality_classifier,
-    "op7_secret_scan": op7_secret_scan,
+    "op1_chat_format": chat_format.op1_chat_format,
+    "op2_url_filter": url_filter.op2_url_filter,
+    "op4_language_id": language_id.op4_language_id,
+    "op6_quality_classifier": quality.op6_quality_classifier,
+    "op7_secret_scan": secret_scan.op7_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": chat_format.SQL,
+    "op2_url_filter": url_filter.SQL,
+}
