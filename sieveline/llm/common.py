@@ -105,3 +105,35 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], added: T.StructType
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *made], names=[*keep, *arrow.names])
 
     return chosen.mapInArrow(run, schema)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: int = 256, salts: int = 32) -> DataFrame:
+    """Join on ``key``, unique in ``right``; rows of ``left`` whose key has over ``hot`` rows are dealt over salts, and their row of ``right`` repeated."""
+    often = left.groupBy(key).count().filter(F.col("count") > hot).select(key, F.lit(True).alias("__hot"))
+    dealt = right.join(often, key, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    marked = left.join(often, key, "left")
+    marked = marked.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*[f"`{c}`" for c in left.columns]), F.lit(salts)).cast("int")).otherwise(0)).drop("__hot")
+    return marked.join(dealt, [key, "__salt"], how).drop("__salt")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for every node of the edges, component the smallest node reachable.
+
+    Alternating large and small stars; each round is written, so rounds cost one pass
+    and lost executors lose at most the current one.
+    """
+    pairs = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "cc")
+    last = None
+    while True:
+        both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = salted_join(both, low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = salted_join(large, least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        pairs = materialize(small.filter("u <> v").distinct(), "cc")
+        state = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == last:
+            roots = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+        last = state

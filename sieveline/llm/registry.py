@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveline.llm import chat_format, language_id, quality, secret_scan, url_filter
+from sieveline.llm import chat_format, language_id, line_dedup, ngram_join, quality, secret_scan, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -10,9 +10,13 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_secret_scan": secret_scan.op7_secret_scan,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": chat_format.SQL,
     "op2_url_filter": url_filter.SQL,
+    "op8_ngram_join": ngram_join.SQL,
+    "op10_line_dedup": line_dedup.SQL,
 }
