@@ -1,15 +1,62 @@
-"""Corpus pipeline: five stages over documents, each written and read again by its caller."""
+"""Corpus pipeline: five stages over documents, each written and read again by its caller.
+
+Every stage works on all rows its predecessor kept and returns the columns of
+documents, the last adds ``piece_ids``. An empty table passes through empty.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import functions as F
+
+from sieveline.llm import decontaminate, language_id, line_dedup, ngram_join, piece_codec
+from sieveline.llm.common import materialize, table
+
+
+def language_stage(spark, docs, sf_dir):
+    """Documents of a determined language; null texts and texts without a letter go, ``lang`` stays as given."""
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    return language_id.identify(docs, model).filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+
+
+def line_stage(spark, docs, sf_dir):
+    """Texts without lines that match earlier ones, ``n_chars`` to suit; documents that lose every word go."""
+    found = line_dedup.dedup_lines(docs)
+    kept = found.filter((F.col("__lines_removed") == 0) | F.col("text").rlike(r"[^\x20\t-\r]"))
+    size = F.when(F.col("__lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.select(*[size.alias(c) if c == "n_chars" else c for c in docs.columns])
+
+
+def copy_stage(spark, docs, sf_dir):
+    """One document of each group of near copies (five-word shingles, 80 per cent): that of the smallest id."""
+    gone = ngram_join.group_rows(docs).filter("id <> component_id").select(F.col("id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").distinct()
+
+
+def benchmark_stage(spark, docs, sf_dir):
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def piece_stage(spark, docs, sf_dir):
+    """Documents with the ids of their pieces."""
+    return piece_codec.encode(docs).drop("decoded")
+
+
+STAGES: list = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("ngram_join", copy_stage),
+    ("decontaminate", benchmark_stage),
+    ("piece_codec", piece_stage),
+]
 
+#: The trained stage and the merging stage have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Apply the stages to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """Apply the stages to documents, each written to shared storage and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
