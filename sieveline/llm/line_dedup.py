@@ -45,10 +45,13 @@ def words_of(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Lines with place (document id, line number) and word set; lines too short to judge are left out."""
+    """Lines with place (document id, line number), word set in order, and the set's key.
+
+    No filter here: it would be pushed below and compute the words twice.
+    """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("version"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("at", "line"))
-    sets = rows.select(F.struct("doc", "at", "version").alias("place"), words_of(F.col("line")).alias("words"))
-    return sets.filter(F.size("words") >= MIN_WORDS)
+    sets = rows.select(F.struct("doc", "at", "version").alias("place"), F.sort_array(words_of(F.col("line"))).alias("words"))
+    return sets.select("place", "words", F.xxhash64("words").alias("key"))
 
 
 def rarity(sets: DataFrame) -> Column:
@@ -70,14 +73,16 @@ def matches(a: str, b: str, percent: int) -> Column:
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """Word sets (``key``) whose lines all go but for the first place, and those whose first place goes too (``all``)."""
-    lines = lines_of(docs, id_col, text).withColumn("key", F.xxhash64(F.array_sort("words")))
+    lines = lines_of(docs, id_col, text)
     first = lines.groupBy("key").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.min("words").alias("words"))
-    sets = materialize(first, "line-sets")
-    ranked = F.transform(F.array_sort(F.transform("words", lambda w: F.struct(F.get(F.col("__n"), F.pmod(w, F.lit(RARITY_BUCKETS)).cast("int")).alias("n"), w.alias("w")))), lambda x: x["w"])
+    sets = materialize(first.filter(F.size("words") >= MIN_WORDS), "line-sets")
+    ranked = F.transform(F.sort_array(F.transform("words", lambda w: F.struct(F.get(F.col("__n"), F.pmod(w, F.lit(RARITY_BUCKETS)).cast("int")).alias("n"), w.alias("w")))), lambda x: x["w"])
     ordered = sets.withColumn("__n", rarity(sets)).select("key", "place", ranked.alias("words"))
     size = F.size("words")
     entry = ordered.select("key", "place", size.alias("size"), F.posexplode(F.slice("words", F.lit(1), prefix_length(size, percent).cast("int"))).alias("pos", "word"))
-    entries = materialize(entry, "line-prefixes")
+    shared = entry.select("word").groupBy("word").count().filter(F.col("count") > 1).select("word")
+    # words of a single prefix can match nothing: what is left is written once and all later shuffles are small
+    entries = materialize(entry.join(shared, "word", "left_semi"), "line-prefixes")
 
     def candidates(probe: DataFrame, index: DataFrame, on: list[str]) -> DataFrame:
         p, i = probe.alias("p"), index.alias("i")
@@ -110,7 +115,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p
 
 def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the lines that go."""
-    struck = lines_of(docs, id_col, text).withColumn("key", F.xxhash64(F.array_sort("words")))
+    struck = lines_of(docs, id_col, text)
     hit = struck.alias("l").join(gone.alias("g"), "key").filter(F.col("g.all") | (F.col("l.place") != F.col("g.place")))
     per_doc = hit.select("l.place.*").groupBy("doc", "version").agg(F.collect_set("at").alias("__ats"))
     kept = F.filter(F.transform(F.split(F.col(f"`{text}`"), "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line"))), lambda x: ~F.array_contains("__ats", x["i"]))
