@@ -38,6 +38,7 @@ RARITY_BUCKETS = 1 << 18
 BITMAP_BITS = 512
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MIX = np.uint64(0x9E3779B97F4A7C15)
+CHUNK_BYTES = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -45,28 +46,58 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+#: A value for each byte; white space, between words, adds nothing.
+BYTE_VALUES = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * MIX) * MIX)
+BYTE_VALUES[[9, 10, 11, 12, 13, 32]] = 0
+
+
+def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of a byte buffer: mixed sums of byte values times powers of an odd base."""
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, len(b) + CHUNK_BYTES, CHUNK_BYTES))
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        if i == j:
+            continue
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        at = starts[i:j] - lo
+        offset = np.arange(hi - lo) - np.repeat(at, np.diff(np.append(at, hi - lo)))
+        longest = int((ends[i:j] - starts[i:j]).max())
+        power = np.cumprod(np.full(longest + 1, MIX))
+        out[i:j] = np.add.reduceat(BYTE_VALUES[b[lo:hi]] * power[np.minimum(offset, longest)], at)
+    return mixed(out)
+
+
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes (as int64) of each text."""
-    import xxhash
-
-    known: dict[bytes, int] = {}
+    if not texts:
+        return []
+    b = np.frombuffer((b"\n".join(texts) + b"\n").translate(LOWER), np.uint8)
+    space = (b == 32) | ((b >= 9) & (b <= 13))
+    turn = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        turn = np.append(0, turn)
+    starts, ends = turn[0::2], turn[1::2]
+    h = word_hashes(b, starts, ends)
+    offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
+    bounds = np.searchsorted(starts, offsets).tolist()
+    whole = rolled(h, n)
     out = []
-    for text in texts:
-        words = text.translate(LOWER).split()  # bytes split at ASCII white space
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if not len(h):
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        if hi == lo:
             out.append(np.zeros(0, np.int64))
-            continue
-        width = min(n, len(h))
-        acc = np.full(len(h) - width + 1, width, np.uint64)
-        for k in range(width):
-            acc = mixed(acc * MIX + h[k : len(h) - width + 1 + k])
-        out.append(np.unique(acc).view(np.int64) if width == n else acc.view(np.int64))
-        if len(known) > 1_000_000:
-            known.clear()
-    return [np.sort(s) for s in out]
+        elif hi - lo < n:
+            out.append(rolled(h[lo:hi], hi - lo))
+        else:
+            out.append(np.unique(whole[lo : hi - n + 1]))
+    return out
+
+
+def rolled(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes, as int64, of all runs of ``width`` words."""
+    acc = np.full(max(0, len(h) - width + 1), width, np.uint64)
+    for k in range(width):
+        acc = mixed(acc * MIX + h[k : k + len(acc)])
+    return acc.view(np.int64)
 
 
 def bitmap(s: np.ndarray) -> bytes:
