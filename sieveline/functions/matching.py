@@ -72,13 +72,13 @@ def truncate(text: Column, limit: int) -> Column:
 
 def requirement_lines(text: Column, most: int = 8, limit: int = 180) -> Column:
     """The first lines and bullets of a section, trimmed, each cut to ``limit`` characters."""
-    lines = F.filter(F.transform(F.split(text, "[\n•ㆍ]"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "[\n•ㆍ]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(F.slice(lines, 1, most), lambda x: truncate(x, limit))
 
 
 def ordered_distinct(items: Column) -> Column:
     """Trimmed items without blanks, each at its first place."""
-    return F.array_distinct(F.filter(F.transform(items, F.trim), lambda x: x.isNotNull() & (x != "")))
+    return F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
 
 
 def section(text: Column, starts: Sequence[str], ends: Sequence[str]) -> Column:
