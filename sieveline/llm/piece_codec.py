@@ -33,6 +33,7 @@ from sieveline.llm.common import map_texts, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+KNOWN_WORDS = 1_000_000
 
 
 class Vocabulary:
@@ -48,6 +49,7 @@ class Vocabulary:
         self.longest = max(map(len, self.whole))
         self.of_byte = {i: b for b, i in bytes_.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.known: dict[str, list[int]] = {}  # words encoded before, emptied beyond KNOWN_WORDS
 
     def merge(self, text: str) -> list[str]:
         """Pieces of a short text by merging the best pair, leftmost first."""
@@ -152,7 +154,13 @@ def split_words(text: str) -> list[str]:
 
 def encode_texts(texts: list[str], vocab: Vocabulary) -> list[list[int]]:
     split = [split_words(t) for t in texts]
-    known = encode_words(list(dict.fromkeys(w for ws in split for w in ws)), vocab) if any(split) else {}
+    words = dict.fromkeys(w for ws in split for w in ws)
+    if len(vocab.known) + len(words) > KNOWN_WORDS:
+        vocab.known.clear()
+    known = vocab.known
+    new = [w for w in words if w not in known]
+    if new:
+        known.update(encode_words(new, vocab))
     return [[i for w in ws for i in known[w]] for ws in split]
 
 
