@@ -2,8 +2,8 @@
 
 A line's set is its distinct lower-case words. A line goes if an earlier line
 (order: document id, then place in the document) has a Jaccard similarity of
-at least ``threshold`` with it. Lines of fewer than ``MIN_WORDS`` distinct words
-are too little to be judged copies and stay.
+at least ``threshold`` with it, however few words it has. Lines without a word
+stay.
 
 Join: words are ordered by rarity, a set's prefix holds every word of which one
 must be shared by any match; prefixes meet on their words under the length and
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import materialize, table
 
 THRESHOLD_PERCENT = 80
-MIN_WORDS = 5
 RARITY_BUCKETS = 1 << 16
 SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,7 +74,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p
     """Word sets (``key``) whose lines all go but for the first place, and those whose first place goes too (``all``)."""
     lines = lines_of(docs, id_col, text)
     first = lines.groupBy("key").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.min("words").alias("words"))
-    sets = materialize(first.filter(F.size("words") >= MIN_WORDS), "line-sets")
+    sets = materialize(first.filter(F.size("words") > 0), "line-sets")
     ranked = F.transform(F.sort_array(F.transform("words", lambda w: F.struct(F.get(F.col("__n"), F.pmod(w, F.lit(RARITY_BUCKETS)).cast("int")).alias("n"), w.alias("w")))), lambda x: x["w"])
     ordered = sets.withColumn("__n", rarity(sets)).select("key", "place", ranked.alias("words"))
     size = F.size("words")

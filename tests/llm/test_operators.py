@@ -54,6 +54,24 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_short_lines_against_brute_force(spark):
+    rng = random.Random(4)
+    docs = [(i, "\n".join(" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(8))) for _ in range(6))) for i in range(12)]
+    docs += [(20, "All rights reserved."), (21, "all rights reserved.\n\n \nHome"), (22, "Home"), (23, "one two three four"), (24, "one two three four five")]
+    seen, want = [], {}
+    for i, text in docs:
+        kept = []
+        for line in text.split("\n"):
+            s = set(line.lower().split())
+            if not (s and any(100 * len(s & t) >= 80 * len(s | t) for t in seen)):
+                kept.append(line)
+            seen.append(s)
+        want[i] = ("\n".join(kept), text.count("\n") + 1 - len(kept))
+    assert want[21] == ("\n \nHome", 1) and want[22] == want[24] == ("", 1)
+    got = {r.doc_id: (r.text, r["__lines_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == want
+
+
 def test_ngram_join_against_brute_force(spark):
     rng = random.Random(1)
     base = [words(rng, n) for n in (3, 4, 30, 80, 80, 300)]
