@@ -2,11 +2,13 @@
 
 Documents and items are sequences of lower-case words; a shingle is five of
 them and its weight is its number of occurrences. A window is as many words of
-a document as an item has. It matches the item if the weighted Jaccard
-similarity of their shingles is at least ``threshold``.
+a document as an item has, or the whole document if it has fewer. It matches
+the item if the weighted Jaccard similarity of their shingles is at least
+``threshold``.
 
 Windows: a match shares shingles with its item, so windows are laid where a
-shared shingle puts the item's beginning; no other window is built. Shared
+shared shingle puts the item's beginning, moved inside where the passage is cut
+by an end of the document; no other window is built. Shared
 shingles pass a fixed bit table of the items' shingles first and then an exact
 hash join. Each window's 64-bit SimHash is cut into ``RADIUS`` + 1 blocks; two
 fingerprints within the radius agree in one block at least, so the join on
@@ -115,12 +117,13 @@ def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         else:
             per = mine.groupBy("h").agg(F.collect_set(F.struct("off", "len")).alias("at"))
             joined = salted_join(spots, per, "h").select("id", "version", "i", F.explode("at").alias("at")).select("id", "version", "i", "at.*")
-        found.append(joined.select("id", "version", F.lit(n).alias("n"), "len", (F.col("i") - F.col("off")).alias("start")).filter("start >= 0").distinct())
+        found.append(joined.select("id", "version", F.lit(n).alias("n"), "len", F.greatest(F.lit(0), F.col("i") - F.col("off")).alias("start")).distinct())
     starts = materialize(reduce(DataFrame.unionByName, found), "starts")
     per_doc = starts.groupBy(F.col("id").alias("pid"), F.col("version").alias("pversion")).agg(F.collect_list(F.struct("n", "len", "start")).alias("starts"))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).withColumn("version", F.xxhash64("text"))
     held = texts.join(per_doc, F.col("id").eqNullSafe(F.col("pid")) & (F.col("version") == F.col("pversion"))).dropDuplicates(["id", "version"]).select("id", "version", "starts", words_of(F.col("text")).alias("w"))
-    laid = held.select("id", "version", F.explode_outer(F.transform("starts", lambda p: F.struct(p["n"].alias("n"), p["len"].alias("len"), p["start"].alias("start"), F.slice("w", p["start"] + 1, p["len"]).alias("ww")))).alias("p")).select("id", "version", "p.*").filter("size(ww) = len")
+    inside = F.array_distinct(F.transform("starts", lambda p: F.struct(p["n"].alias("n"), p["len"].alias("len"), F.greatest(F.lit(0), F.least(p["start"], F.size("w") - p["len"])).alias("start"))))
+    laid = held.select("id", "version", F.explode_outer(F.transform(inside, lambda p: F.struct(p["n"].alias("n"), p["len"].alias("len"), p["start"].alias("start"), F.slice("w", p["start"] + 1, p["len"]).alias("ww")))).alias("p")).select("id", "version", "p.*")
     by_width = reduce(lambda acc, n: F.when(F.col("n") == n, shingles_of(F.col("ww"), n)).otherwise(acc), widths[:-1], shingles_of(F.col("ww"), SHINGLE))
     windows = laid.select("id", "version", "n", "len", "start", by_width.alias("doc_s"))
     # equal windows are judged once, however many documents hold them

@@ -1,6 +1,7 @@
 """Small cases for each operator against brute force or exact round trips."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,31 @@ def test_decontaminate(spark):
     assert {(r.id, r.item_id) for r in found.collect()} == {(1, 0), (4, 1), (5, 2)}
 
 
+def test_decontaminate_at_the_ends_of_texts(spark):
+    rng = random.Random(5)
+    items = [words(rng, 40), words(rng, 60), "tiny item"]
+    cut = lambda t, a, b: " ".join(t.split()[a : len(t.split()) - b])
+    texts = [cut(items[0], 3, 0) + " " + words(rng, 100), words(rng, 100) + " " + cut(items[1], 0, 4), cut(items[1], 1, 2), cut(items[0], 2, 2), cut(items[0], 0, 8) + " " + words(rng, 50), cut(items[0], 5, 4), "tiny", "item tiny"]
+
+    def bags(text, n):
+        w = text.split()
+        return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            size, w = len(item.split()), text.split()
+            b = bags(item, min(size, 5))
+            for at in range(max(0, len(w) - size) + 1):
+                a = bags(" ".join(w[at : at + size]), min(size, 5))
+                best = sum((a & b).values()) / sum((a | b).values())
+                if best >= 0.8:
+                    want[d, i] = max(want.get((d, i), 0), best)
+    assert set(want) == {(0, 0), (1, 1), (2, 1), (3, 0)}
+    found = decontaminate.find_passages(spark.createDataFrame(list(enumerate(texts)), DOCS), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(r.id, r.item_id): pytest.approx(r.similarity) for r in found.collect()} == want
+
+
 def test_piece_codec_equals_library():
     import sentencepiece
 
