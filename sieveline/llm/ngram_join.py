@@ -15,6 +15,10 @@ overlap from above; what passes is intersected exactly as sorted arrays.
 Shingles are compared by 64-bit hashes. Rarity is a fixed table of counts by
 hash; collisions only change the order, never the result.
 
+These links connect components and are not all there are; ``group_rows`` and the
+op8 query use only them. ``class_links`` gives every link: there all members of
+a tile meet under the filters.
+
 Rows: every input row gives one row. Without words or text the set is empty and
 linked with nothing, the component is the row's own id. Texts of fewer words
 than n have one shingle, their whole sequence. Rows that repeat an id share its
@@ -129,8 +133,8 @@ def rarity_table(df: DataFrame, text: str, n: int) -> np.ndarray:
     return (4 * np.log2(1 + total)).astype(np.uint8)
 
 
-def memberships(df: DataFrame, id_col: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Per row (id, n_shingles, class_key), and links (a, b) between class representatives that connect whatever is linked."""
+def memberships(df: DataFrame, id_col: str, text: str, n: int, percent: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Per row (id, n_shingles, class_key), and links (a, b) between class representatives: such as connect whatever is linked, or ``every`` one."""
     base = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("class_key", T.BinaryType())])
 
@@ -190,6 +194,16 @@ def memberships(df: DataFrame, id_col: str, text: str, n: int, percent: int) ->
 
         return materialize(whole.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long"), "ngram-links")
 
+    def meeting(members: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members of one tile, of different labels, that pass the length and positional filters."""
+        p, i = members.alias("p"), members.select("word", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "id", "size", "pos", "label").alias("i")
+        small, large = F.least("p.size", "i.size"), F.greatest("p.size", "i.size")
+        room = F.least(F.col("p.size") - F.col("p.pos"), F.col("i.size") - F.col("i.pos"))
+        rest = p.join(i, ["word", "band"]).filter((F.col("p.id") < F.col("i.id")) & (F.col("p.label") != F.col("i.label")) & (100 * small >= percent * large) & ((100 + percent) * room >= percent * (small + large)))
+        return rest.select(F.col("p.id").alias("a"), F.col("i.id").alias("b")).distinct()
+
+    if every:
+        return rows, verified(meeting(tiles.withColumn("label", F.col("id"))))
     heads = tiles.groupBy("word", "band").agg(F.min("id").alias("a"))
     spread = heads.select("word", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "a")
     near = tiles.select("word", "band", F.col("id").alias("b")).join(spread, ["word", "band"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -198,11 +212,7 @@ def memberships(df: DataFrame, id_col: str, text: str, n: int, percent: int) ->
     named = tiles.join(label, tiles["id"] == label["node"], "left").select("word", "band", "id", "size", "pos", F.coalesce("component", "id").alias("label"))
     mixed_tiles = named.groupBy("word").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("word")
     open_ = materialize(named.join(mixed_tiles, "word", "left_semi"), "ngram-open")
-    p, i = open_.alias("p"), open_.select("word", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "id", "size", "pos", "label").alias("i")
-    small, large = F.least("p.size", "i.size"), F.greatest("p.size", "i.size")
-    room = F.least(F.col("p.size") - F.col("p.pos"), F.col("i.size") - F.col("i.pos"))
-    rest = p.join(i, ["word", "band"]).filter((F.col("p.id") < F.col("i.id")) & (F.col("p.label") != F.col("i.label")) & (100 * small >= percent * large) & ((100 + percent) * room >= percent * (small + large)))
-    more = verified(rest.select(F.col("p.id").alias("a"), F.col("i.id").alias("b")).distinct())
+    more = verified(meeting(open_))
     return rows, links.union(more)
 
 
@@ -216,6 +226,11 @@ def group_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     return found.union(rows.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
 
 
+def class_links(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """(a, b), a < b, for all linked pairs of classes of equal sets, each named by its smallest id; members of a class link with one another besides."""
+    return memberships(df, id_col, text, n, percent, every=True)[1]
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, set size and component of every whole text of documents: 4-word shingles, 85 per cent."""
     found = group_rows(table(spark, sf_dir, "documents"), n=4, percent=85)

@@ -93,6 +93,24 @@ def test_ngram_join_against_brute_force(spark):
     assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
+def test_class_links_against_brute_force(spark):
+    rng = random.Random(6)
+    texts = [None, " "] + [words(rng, n) for n in (3, 80, 80, 300)]
+    for b in texts[3:6]:
+        texts += [b.upper()] + [" ".join(w if i not in cut else "changed" for i, w in enumerate(b.split())) for cut in ([0], [1], [0, 1], [40], [41], [len(b.split()) - 1])]
+    firsts = {}
+    for i, text in enumerate(texts):
+        w = (text or "").lower().split()
+        if w:
+            firsts.setdefault(frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))), i)
+    every = {(i, j) for s, i in firsts.items() for t, j in firsts.items() if i < j and 100 * len(s & t) >= 85 * len(s | t)}
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = [tuple(r) for r in ngram_join.class_links(df, n=4, percent=85).collect()]
+    assert len(got) == len(every) and set(got) == every
+    connecting = {tuple(r) for r in ngram_join.memberships(df, "doc_id", "text", 4, 85)[1].collect()}
+    assert connecting < every
+
+
 def test_decontaminate(spark):
     rng = random.Random(2)
     items = [words(rng, 40), words(rng, 60), "tiny item"]
