@@ -70,10 +70,11 @@ def truncate(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.rtrim(F.left(text, F.lit(limit - 1))), F.lit("…"))).otherwise(text)
 
 
-def requirement_lines(text: Column, most: int = 8, limit: int = 180) -> Column:
-    """The first lines and bullets of a section, trimmed, each cut to ``limit`` characters."""
+def requirement_lines(text: Column, most: int = 8, limit: int = 180, whole: int = 240) -> Column:
+    """The first lines and bullets of a section, trimmed, each cut to ``limit`` characters; a text that has none but is not empty is one line, cut to ``whole``."""
     lines = F.filter(F.transform(F.split(text, "[\n•ㆍ]"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.transform(F.slice(lines, 1, most), lambda x: truncate(x, limit))
+    found = F.transform(F.slice(lines, 1, most), lambda x: truncate(x, limit))
+    return F.when((F.size(found) == 0) & (text != ""), F.array(truncate(text, whole))).otherwise(found)
 
 
 def ordered_distinct(items: Column) -> Column:

@@ -28,6 +28,11 @@ def test_text(spark):
     assert values(spark, [(None,)], "t string", q=m.hashed_key("posting-v3", F.struct(F.lit("id").alias("kind"), t.alias("value")))) == [(key,)]
 
 
+def test_requirement_lines_of_a_text_without_any(spark):
+    texts = [" \n• ", "•" * 241, "", None, "a\n"]
+    assert [r[0] for r in values(spark, [(t,) for t in texts], "t string", q=m.requirement_lines(F.col("t")))] == [[" \n• "], ["•" * 239 + "…"], [], None, ["a"]]
+
+
 def test_scores(spark):
     n, d = F.col("n"), F.col("d")
     got = values(spark, [(1, 3), (1, 0), (3, 3), (1, 16)], "n int, d int", c=m.component(40, n, d), s=m.total_score({"required": (n, d), "preferred": (n, d)}, n))
