@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Sequence
@@ -19,7 +20,8 @@ import sieveline
 cloudpickle.register_pickle_by_value(sieveline)
 
 #: Kept between calls only to remove what was written; see materialize().
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, DataFrame]] = []
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,13 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``), or a local one where none is set, as in tests."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``); where none is set, a local one for a local master, as in tests, and an error else."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster, intermediates need a folder that all executors share")
     path = tempfile.mkdtemp(prefix="sieveline-shared-")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -43,21 +47,43 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors.
 
-    The files go when the Python process ends.
+    Shuffle files of the write go when it ends (the result no longer needs them);
+    the files written go by ``release`` or when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sieveline-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        # one dictionary for a whole column chunk: hashes of words repeat
+        df.write.option("parquet.dictionary.page.size", 16 << 20).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    _written.append((spark, path, found))
+    return found
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these frames; nothing may read them afterwards."""
+    for frame in frames:
+        for entry in [w for w in _written if w[2] is frame]:
+            _delete(*entry[:2])
+            _written.remove(entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _remove() -> None:
-    for spark, path in _written:
+    for spark, path, _ in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the JVM may be gone already
             return
 
@@ -107,6 +133,24 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], added: T.StructType
     return chosen.mapInArrow(run, schema)
 
 
+def bit_table(hashes: DataFrame, words: int = 1 << 14) -> tuple[Column, Callable[[Column, Column], Column]]:
+    """A bit table of fixed size over a one-column frame of 64-bit hashes, as a scalar column, and its test (table, hash); it may pass others too."""
+    h = F.col(f"`{hashes.columns[0]}`")
+    word = lambda x: F.pmod(F.shiftrightunsigned(x, 6), F.lit(words)).cast("int")
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))
+    filled = hashes.groupBy(word(h).alias("b")).agg(F.bit_or(bit(h)).alias("w"))
+    return dense_array(filled, words), lambda bits, x: F.get(bits, word(x)).bitwiseAND(bit(x)) != 0
+
+
+def dense_array(values: DataFrame, n: int, run: int = 1024) -> Column:
+    """(b, w) as one array over 0 <= b < n with 0 where b is absent, a scalar column; gathered in runs first, so one task reads n / run rows."""
+    kind = values.schema["w"].dataType
+    every = values.select("b", "w").union(values.sparkSession.range(n).select(F.col("id").cast("int"), F.lit(0).cast(kind)))
+    one = every.groupBy("b").agg(F.sum("w").cast(kind).alias("w"))  # a bucket has its value and a zero, or the zero alone
+    runs = one.groupBy(F.floor(F.col("b") / run).alias("r")).agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "w"))), lambda x: x["w"]).alias("a"))
+    return runs.agg(F.array_sort(F.collect_list(F.struct("r", "a"))).alias("a")).select(F.flatten(F.transform("a", lambda x: x["a"]))).scalar()
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: int = 256, salts: int = 32) -> DataFrame:
     """Join on ``key``, unique in ``right``; rows of ``left`` whose key has over ``hot`` rows are dealt over salts, and their row of ``right`` repeated."""
     often = left.groupBy(key).count().filter(F.col("count") > hot).select(key, F.lit(True).alias("__hot"))

@@ -7,16 +7,23 @@ stay.
 
 Join: words are ordered by rarity, a set's prefix holds every word of which one
 must be shared by any match; prefixes meet on their words under the length and
-positional filters, and survivors are verified on the whole sorted arrays.
-Rarity comes from a table of word counts by hash (``RARITY_BUCKETS``, fixed
-size); any one order keeps the filter exact, and buckets that collide only
-lengthen candidate lists. Words are compared by 64-bit hashes.
+positional filters and a bound from parity bits of the whole sets, and what is
+left is verified on the whole sorted arrays. Rarity comes from a table of word
+counts by hash (``RARITY_BUCKETS``, fixed size); any one order keeps the filter
+exact, and words that share a bucket only lengthen candidate lists. A word
+alone in its bucket is in one line only and meets nothing. Words are compared
+by 64-bit hashes, sets by 128-bit keys of these.
+
+Data moved: the words of all lines are written once, without a shuffle; what is
+shuffled of a line are its keys and its prefix, 32 bits a word. Whole arrays
+are read again only for sets of candidate pairs. Sets are numbered in the order
+of their first places, so a pair's order is that of its numbers.
 
 Skew: equal sets meet first and leave one set with its first place, by partial
-aggregation. Then every set is compared with the first set of each of its
-prefix words, which is one row a word, so groups of near copies resolve in
-linear work; only sets that this leaves undecided meet all others, with the hot
-words dealt over salts.
+aggregation. Then sets with a common word (``COMMON`` lines or more may hold
+it) in the prefix are compared with the first set of that word, which is one
+row a word, so groups of near copies resolve in linear work; only sets that this
+leaves undecided meet all others, by joins whose hot keys Spark can split.
 
 Rows: every document stays, in its row, with the text of the lines it keeps;
 a document that loses all its lines has an empty text. Null and empty texts
@@ -30,97 +37,159 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import materialize, table
+from sieveline.llm.common import bit_table, dense_array, materialize, release, table
 
 THRESHOLD_PERCENT = 80
-RARITY_BUCKETS = 1 << 16
-SALTS = 16
+RARITY_BUCKETS = 1 << 20
+COMMON = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+RANK_SHIFT = 56  # a word is ordered by one number: rarity above, the low bits of its hash below
+PLACE = ["__doc", "__v1", "__v2", "__at"]
 
 
 def words_of(line: Column) -> Column:
-    """Hashes of the distinct lower-case words of a line."""
-    return F.transform(F.array_distinct(F.filter(F.split(F.translate(line, UPPER, LOWER), r"[\x20\t-\r]+"), lambda w: w != "")), lambda w: F.xxhash64(w))
+    """Sorted hashes of the distinct lower-case words of a line; splitting leaves empty words, which go by their hash."""
+    ascii_only = F.octet_length(line) == F.char_length(line)
+    low = F.when(ascii_only, F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
+    spaced = F.when(line.rlike(r"[\t\x0B\f\r]"), F.split(low, r"[\x20\t-\r]+")).otherwise(F.split(low, " "))
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(spaced, lambda w: F.xxhash64(w))), F.xxhash64(F.lit(""))))
+
+
+def text_key(column: Column) -> tuple[Column, Column]:
+    """128 bits of a text."""
+    return F.xxhash64(column), F.xxhash64(F.lit(1), column)
 
 
 def lines_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Lines with place (document id, line number), word set in order, and the set's key.
+    """Lines with their place (document id, text, line number), sorted word hashes and key; no filter, which would be pushed below and compute the words twice."""
+    v1, v2 = text_key(F.col(f"`{text}`"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("__doc"), v1.alias("__v1"), v2.alias("__v2"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("__at", "line"))
+    sets = rows.select(*PLACE, words_of(F.col("line")).alias("words"))
+    return sets.select(*PLACE, "words", F.size("words").alias("n"), F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"))
+
 
-    No filter here: it would be pushed below and compute the words twice.
-    """
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("version"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("at", "line"))
-    sets = rows.select(F.struct("doc", "at", "version").alias("place"), F.sort_array(words_of(F.col("line"))).alias("words"))
-    return sets.select("place", "words", F.xxhash64("words").alias("key"))
+def level(count: Column) -> Column:
+    """Half steps of the logarithm of a count; 0 for a single line."""
+    return F.when(count <= 1, 0).otherwise(1 + F.floor(2 * F.log2(count))).cast("tinyint")
 
 
-def rarity(sets: DataFrame) -> Column:
-    """Counts of words by hash bucket as a scalar array."""
-    found = sets.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(RARITY_BUCKETS)).cast("int").alias("b")).count()
-    every = sets.sparkSession.range(RARITY_BUCKETS).select(F.col("id").cast("int").alias("b")).join(found, "b", "left")
-    return every.agg(F.array_sort(F.collect_list(F.struct("b", F.coalesce("count", F.lit(0)).alias("n")))).alias("a")).select(F.transform("a", lambda x: x["n"])).scalar()
+def rarity(lines: DataFrame) -> Column:
+    """Levels of word counts by hash bucket as a scalar array."""
+    found = lines.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(RARITY_BUCKETS)).cast("int").alias("b")).count()
+    return dense_array(found.select("b", level(F.col("count")).alias("w")), RARITY_BUCKETS)
 
 
 def prefix_length(n: Column, percent: int) -> Column:
     """So many of the rarest words that two sets which match share one of them."""
-    return n - F.ceil(n * percent / F.lit(100)) + 1
+    return (n - F.ceil(n * percent / F.lit(100)) + 1).cast("int")
+
+
+def parity_bits(words: Column) -> Column:
+    """64 bits: of each, whether an odd number of the words fall on it. Two sets differ in at least as many words as bits."""
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def distinct_sets(lines: DataFrame, percent: int) -> DataFrame:
+    """One row a set, numbered (sid) in order of first places: keys, first place, lines, size, parity bits, and its prefix without words of a single line: ``skip`` words were left out, ``rare`` of the others are not common."""
+    order = lambda w: F.shiftleft(F.get(F.col("__level"), F.pmod(w, F.lit(RARITY_BUCKETS)).cast("int")).cast("bigint"), RANK_SHIFT).bitwiseOR(w.bitwiseAND(F.lit((1 << RANK_SHIFT) - 1)))
+    common = (1 + int(2 * (COMMON.bit_length() - 1))) << RANK_SHIFT
+    held = lines.filter("n > 0").withColumn("__level", rarity(lines))
+    ranked = held.select(*PLACE, "k1", "k2", "n", parity_bits(F.col("words")).alias("bits"), F.slice(F.sort_array(F.transform("words", order)), F.lit(1), prefix_length(F.col("n"), percent)).alias("prefix"))
+    met = F.filter("prefix", lambda x: x >= F.lit(1 << RANK_SHIFT))
+    cut = ranked.select(F.struct(*PLACE).alias("place"), "k1", "k2", "n", "bits", F.size("prefix").alias("all"), met.alias("met"))
+    cut = cut.select("place", "k1", "k2", "n", "bits", (F.col("all") - F.size("met")).alias("skip"), F.size(F.filter("met", lambda x: x < F.lit(common))).alias("rare"), F.transform("met", lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int")).alias("head"))
+    one = cut.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("lines"), *[F.first(c).alias(c) for c in ("n", "bits", "skip", "rare", "head")])
+    return one.orderBy("place").withColumn("sid", F.monotonically_increasing_id())
+
+
+def close(a: str, b: str, percent: int) -> Column:
+    """The length and positional filters and the bound from parity bits, for two entries of one word."""
+    n, m, p, q = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
+    room = F.least(n - p, m - q)  # no more words can be shared from here on, and none before the first shared one
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * room >= percent * (n + m)) & ((100 + percent) * apart(a, b) <= (100 - percent) * (n + m))
+
+
+def apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+
+
+def matches(a: Column, b: Column, percent: int) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    return 100 * shared >= percent * (F.size(a) + F.size(b) - shared)
+
+
+def words_by_set(lines: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sid, words) of all sets in the pairs (a, b)."""
+    sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    needed = materialize(sets.join(sids, "sid", "left_semi").select("sid", "k1", "k2", "place"), "line-needed")
+    bits, known = bit_table(needed.select("k1"), 1 << 16)
+    some = lines.withColumn("__bits", bits).filter(known(F.col("__bits"), F.col("k1"))).select("k1", "k2", F.struct(*PLACE).alias("here"), "words")
+    found = materialize(some.join(needed, ["k1", "k2"]).filter(F.col("here").eqNullSafe(F.col("place"))).select("sid", "words").dropDuplicates(["sid"]), "line-words")
+    release(needed)
+    return found
+
+
+def verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+    """Sets b (sid) of the pairs that match."""
+    left = pairs.select("a", "b").join(words.select(F.col("sid").alias("a"), F.col("words").alias("wa")), "a")
+    both = left.join(words.select(F.col("sid").alias("b"), F.col("words").alias("wb")), "b")
+    return both.filter(matches(F.col("wa"), F.col("wb"), percent)).select(F.col("b").alias("sid")).distinct()
+
+
+def nearest_first(pairs: DataFrame) -> DataFrame:
+    """One pair of each b, of the fewest differing bits."""
+    return pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("b", "x.a")
+
 
+def matched_sets(lines: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Sets (sid) that match one with an earlier first place."""
+    entry = lambda df, *more: df.select("sid", "n", "bits", "skip", "rare", *more, F.posexplode("head").alias("i", "w")).withColumn("pos", F.col("skip") + F.col("i"))
+    frequent = entry(sets).filter("i >= rare").select("w", "sid", "n", "bits", "pos")
+    first = frequent.groupBy("w").agg(F.min("sid").alias("sid"), F.min_by(F.struct("n", "bits", "pos"), "sid").alias("x")).select("w", "sid", "x.*")
+    near = frequent.alias("b").join(first.alias("a"), "w").filter((F.col("a.sid") < F.col("b.sid")) & close("a", "b", percent))
+    near = materialize(near.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), apart("a", "b").alias("apart")).distinct(), "line-near")
+    words = words_by_set(lines, sets, near)
+    decided = materialize(verified(near, words, percent).withColumn("done", F.lit(True)), "line-decided")
+    release(near, words)
 
-def matches(a: str, b: str, percent: int) -> Column:
-    shared = F.size(F.array_intersect(f"{a}.words", f"{b}.words"))
-    return 100 * shared >= percent * (F.size(f"{a}.words") + F.size(f"{b}.words") - shared)
+    marked = sets.join(decided, "sid", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    every = entry(marked, "done").select("w", "sid", "n", "bits", "pos", "done")
+    met = every.alias("a").join(every.alias("b"), "w").filter((F.col("a.sid") < F.col("b.sid")) & ~F.col("b.done") & close("a", "b", percent))
+    pairs = materialize(met.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), apart("a", "b").alias("apart")).distinct(), "line-pairs")
+    words = words_by_set(lines, sets, pairs)
+    likely = materialize(verified(nearest_first(pairs), words, percent), "line-likely")
+    rest = pairs.join(likely, F.col("b") == F.col("sid"), "left_anti")
+    found = materialize(decided.select("sid").union(likely).union(verified(rest, words, percent)), "line-matched")
+    release(decided, pairs, words, likely)
+    return found
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """Word sets (``key``) whose lines all go but for the first place, and those whose first place goes too (``all``)."""
-    lines = lines_of(docs, id_col, text)
-    first = lines.groupBy("key").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.min("words").alias("words"))
-    sets = materialize(first.filter(F.size("words") > 0), "line-sets")
-    ranked = F.transform(F.sort_array(F.transform("words", lambda w: F.struct(F.get(F.col("__n"), F.pmod(w, F.lit(RARITY_BUCKETS)).cast("int")).alias("n"), w.alias("w")))), lambda x: x["w"])
-    ordered = sets.withColumn("__n", rarity(sets)).select("key", "place", ranked.alias("words"))
-    size = F.size("words")
-    entry = ordered.select("key", "place", size.alias("size"), F.posexplode(F.slice("words", F.lit(1), prefix_length(size, percent).cast("int"))).alias("pos", "word"))
-    shared = entry.select("word").groupBy("word").count().filter(F.col("count") > 1).select("word")
-    # words of a single prefix can match nothing: what is left is written once and all later shuffles are small
-    entries = materialize(entry.join(shared, "word", "left_semi"), "line-prefixes")
-
-    def candidates(probe: DataFrame, index: DataFrame, on: list[str]) -> DataFrame:
-        p, i = probe.alias("p"), index.alias("i")
-        same = [F.col(f"p.{c}") == F.col(f"i.{c}") for c in on]
-        small, large = F.least("p.size", "i.size"), F.greatest("p.size", "i.size")
-        room = F.least(F.col("p.size") - F.col("p.pos"), F.col("i.size") - F.col("i.pos"))  # no more words can be shared from here on, and none before the first shared one
-        cond = (F.col("i.place") < F.col("p.place")) & (100 * small >= percent * large) & ((100 + percent) * room >= percent * (small + large))
-        joined = p.join(i, same, "inner").filter(cond)
-        return joined.select(F.col("p.key").alias("key"), F.col("i.key").alias("other")).distinct()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        # the sets come by key, twice; a key has as many pairs as candidates, and skew joins split those
-        a, b = sets.select("key", "words").alias("a"), sets.select(F.col("key").alias("other"), "words").alias("b")
-        return pairs.join(b, "other").join(a, "key").filter(matches("a", "b", percent)).select("key").distinct()
-
-    head = entries.groupBy("word").agg(F.min(F.struct("place", "key", "size", "pos")).alias("h"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    near = entries.alias("p").join(head, "word").select(F.col("p.key").alias("key"), F.col("h.key").alias("other"), "p.place", F.col("h.place").alias("before"), "size", F.col("h.size").alias("osize"))
-    near = near.filter((F.col("before") < F.col("place")) & (100 * F.least("size", "osize") >= percent * F.greatest("size", "osize"))).select("key", "other").distinct()
-    decided = materialize(verified(near), "line-near")
-    left = entries.join(decided, "key", "left_anti").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    # the index side is dealt over salts only for words that are common among prefixes
-    common = entries.groupBy("word").count().filter(F.col("count") > 512).select("word", F.lit(True).alias("hot"))
-    hot = lambda df: df.join(common, "word", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    probe = hot(left).withColumn("salt", F.when(F.col("hot"), F.col("salt")).otherwise(0))
-    index = hot(entries).withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    later = verified(candidates(probe, index, ["word", "salt"]))
-    gone = decided.union(later).withColumn("all", F.lit(True))
-    return materialize(sets.select("key", "place", "n").join(gone, "key", "left").filter("all OR n > 1").select("key", "place", F.coalesce("all", F.lit(False)).alias("all")), "line-gone")
-
-
-def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the lines that go."""
-    struck = lines_of(docs, id_col, text)
-    hit = struck.alias("l").join(gone.alias("g"), "key").filter(F.col("g.all") | (F.col("l.place") != F.col("g.place")))
-    per_doc = hit.select("l.place.*").groupBy("doc", "version").agg(F.collect_set("at").alias("__ats"))
-    kept = F.filter(F.transform(F.split(F.col(f"`{text}`"), "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line"))), lambda x: ~F.array_contains("__ats", x["i"]))
-    cleaned = F.when(F.col("__ats").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    joined = docs.join(per_doc, F.col(f"`{id_col}`").eqNullSafe(F.col("doc")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("version")), "left")
-    return joined.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("__ats"), F.lit(0)).cast("long").alias("__lines_removed"))
+    """Places of the lines that go, as (__doc, __v1, __v2, __ats) a document."""
+    lines = materialize(lines_of(docs, id_col, text), "lines")
+    sets = materialize(distinct_sets(lines, percent), "line-sets")
+    matched = matched_sets(lines, sets, percent)
+    gone = sets.select("sid", "k1", "k2", "place", "lines").join(matched.withColumn("all", F.lit(True)), "sid", "left").filter("all OR lines > 1")
+    gone = materialize(gone.select("k1", "k2", "place", F.coalesce("all", F.lit(False)).alias("all")), "line-gone")
+    hit = lines.filter("n > 0").select("k1", "k2", *PLACE).join(gone, ["k1", "k2"]).filter(F.col("all") | ~F.struct(*PLACE).eqNullSafe(F.col("place")))
+    found = materialize(hit.groupBy("__doc", "__v1", "__v2").agg(F.collect_set("__at").alias("__ats")), "line-struck")
+    release(lines, sets, matched, gone)
+    return found
+
+
+def drop_lines(docs: DataFrame, struck: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the struck lines; texts that lose none are not shuffled."""
+    v1, v2 = text_key(F.col(f"`{text}`"))
+    bits, known = bit_table(struck.select("__v1"), 1 << 16)
+    tested = docs.withColumn("__bits", bits)
+    hit = F.coalesce(known(F.col("__bits"), v1), F.lit(False))
+    whole = tested.filter(~hit).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("__lines_removed"))
+    some = tested.filter(hit).select(*[F.col(f"`{c}`") for c in docs.columns], v1.alias("__w1"), v2.alias("__w2"))
+    joined = some.join(struck, F.col(f"`{id_col}`").eqNullSafe(F.col("__doc")) & (F.col("__w1") == F.col("__v1")) & (F.col("__w2") == F.col("__v2")), "left")
+    kept = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda _, i: ~F.array_contains("__ats", i))
+    cleaned = F.when(F.col("__ats").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
+    return whole.union(joined.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("__ats"), F.lit(0)).cast("long").alias("__lines_removed")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -137,7 +206,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH l AS (SELECT DISTINCT doc_id, text, u.pos, u.line FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) u),
 s AS (SELECT doc_id, pos, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))) AS words FROM l),
-k AS (SELECT words, min((doc_id, pos)) AS place FROM s WHERE len(words) >= 5 GROUP BY words),
+k AS (SELECT words, min((doc_id, pos)) AS place FROM s WHERE len(words) >= 1 GROUP BY words),
 e AS (SELECT words, place, len(words) AS n, unnest(words) AS word FROM k),
 p AS (SELECT a.words, b.words AS other, count(*) AS c, any_value(a.n) AS an, any_value(b.n) AS bn FROM e a JOIN e b ON a.word = b.word AND b.place < a.place AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.words, b.words),
 g AS (SELECT DISTINCT words FROM p WHERE 100 * c >= 80 * (an + bn - c)),
