@@ -164,7 +164,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the edges, component the smallest node reachable.
 
     Alternating large and small stars; each round is written, so rounds cost one pass
-    and lost executors lose at most the current one.
+    and lost executors lose at most the current one. Without edges there are no nodes.
     """
     pairs = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "cc")
     last = None
@@ -175,7 +175,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = salted_join(large, least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        pairs = materialize(small.filter("u <> v").distinct(), "cc")
+        before, pairs = pairs, materialize(small.filter("u <> v").distinct(), "cc")
+        release(before)
         state = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == last:
             roots = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

@@ -13,7 +13,9 @@ different components meet, under the length and positional filters. Parity
 bitmaps bound the symmetric difference from below, so a bit count bounds the
 overlap from above; what passes is intersected exactly as sorted arrays.
 Shingles are compared by 64-bit hashes. Rarity is a fixed table of counts by
-hash; collisions only change the order, never the result.
+hash; collisions only change the order, never the result. Texts are read three
+times: for the counts, for keys with bits and prefixes, and again for the texts
+of candidate pairs alone. Classes, not ids, are what tiles and links speak of.
 
 These links connect components and are not all there are; ``group_rows`` and the
 op8 query use only them. ``class_links`` gives every link: there all members of
@@ -21,9 +23,9 @@ a tile meet under the filters.
 
 Rows: every input row gives one row. Without words or text the set is empty and
 linked with nothing, the component is the row's own id. Texts of fewer words
-than n have one shingle, their whole sequence. Rows that repeat an id share its
-component. Rows with a null id link as others do; a component's smallest id
-ignores nulls. Other columns do not take part. Empty tables give empty tables.
+than n have one shingle, their whole sequence. Rows that repeat an id link by
+their texts, each for itself. Rows with a null id link as others do; a
+component's smallest id ignores nulls, and is null where all are. Other columns do not take part. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sieveline.llm.common import components, map_texts, materialize, salted_join, table
+from sieveline.llm.common import bit_table, components, map_texts, materialize, release, salted_join, table
 
 RARITY_BUCKETS = 1 << 18
 BITMAP_BITS = 512
@@ -55,20 +57,29 @@ BYTE_VALUES = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * MIX) * MIX)
 BYTE_VALUES[[9, 10, 11, 12, 13, 32]] = 0
 
 
+#: Random multipliers for the places of a block of a word.
+BLOCK = 64
+PLACES = mixed(mixed(np.arange(1001, 1001 + BLOCK, dtype=np.uint64) * MIX) * MIX) | np.uint64(1)
+
+
 def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words of a byte buffer: mixed sums of byte values times powers of an odd base."""
+    """64-bit hashes of the words of a byte buffer: of each block of ``BLOCK`` bytes the mixed sum of byte values times the multipliers of their places, and of a word the mixed sum of its blocks' values, mixed again with their numbers."""
     out = np.empty(len(starts), np.uint64)
     cuts = np.searchsorted(starts, np.arange(0, len(b) + CHUNK_BYTES, CHUNK_BYTES))
     for i, j in zip(cuts, cuts[1:], strict=False):
         if i == j:
             continue
         lo, hi = int(starts[i]), int(ends[j - 1])
-        at = starts[i:j] - lo
+        blocks = -(-(ends[i:j] - starts[i:j]) // BLOCK)
+        first = np.cumsum(blocks) - blocks
+        number = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+        at = np.repeat(starts[i:j] - lo, blocks) + number * BLOCK
+        # white space after a word belongs to its last block and adds nothing, wherever it stands
         offset = np.arange(hi - lo) - np.repeat(at, np.diff(np.append(at, hi - lo)))
-        longest = int((ends[i:j] - starts[i:j]).max())
-        power = np.cumprod(np.full(longest + 1, MIX))
-        out[i:j] = np.add.reduceat(BYTE_VALUES[b[lo:hi]] * power[np.minimum(offset, longest)], at)
-    return mixed(out)
+        sums = np.add.reduceat(BYTE_VALUES[b[lo:hi]] * PLACES[np.minimum(offset, BLOCK - 1)], at)
+        sums = mixed(mixed(sums) + MIX * (number + 1).astype(np.uint64))
+        out[i:j] = mixed(np.add.reduceat(sums, first))
+    return out
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -117,53 +128,62 @@ def prefix(s: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
 
 
 def rarity_table(df: DataFrame, text: str, n: int) -> np.ndarray:
-    """Base-2 logarithms, in quarters, of shingle counts by hash bucket, over all texts; fixed size."""
+    """Rarity levels by hash bucket, over all texts; fixed size.
+
+    A bucket holds its shingles' counts and the noise of many rare ones; the level is
+    the excess over the median bucket in deviations of that noise, as a logarithm, so
+    shingles stand out that are frequent for a corpus of the given size.
+    """
 
     def count(batches):
         total = np.zeros(RARITY_BUCKETS, np.int64)
         for batch in batches:
-            for s in shingle_sets([x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()], n):
-                np.add.at(total, (s.view(np.uint64) & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64), 1)
+            sets = shingle_sets([x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()], n)
+            if sets:
+                total += np.bincount((np.concatenate(sets).view(np.uint64) & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64), minlength=RARITY_BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["b", "n"])
 
     rows = df.select(F.col(f"`{text}`").cast("string")).mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(RARITY_BUCKETS)
     total[rows["b"].to_numpy()] = rows["n"].to_numpy()
-    return (4 * np.log2(1 + total)).astype(np.uint8)
+    usual = float(np.median(total))
+    return (2 * np.log2(1 + np.maximum(0, total - usual) / max(1.0, usual) ** 0.5)).astype(np.uint8)
 
 
-def memberships(df: DataFrame, id_col: str, text: str, n: int, percent: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Per row (id, n_shingles, class_key), and links (a, b) between class representatives: such as connect whatever is linked, or ``every`` one."""
-    base = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    kind = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("class_key", T.BinaryType())])
+def classes_of(df: DataFrame, id_col: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, n_shingles, class_key), and classes of equal sets, numbered (node) in the order of their smallest ids (null last): class_key, id, the text's key of one member, size, bits, head."""
+    v1, v2 = F.xxhash64(F.col(f"`{text}`").cast("string")), F.xxhash64(F.lit(1), F.col(f"`{text}`").cast("string"))
+    base = df.select(F.col(f"`{id_col}`").alias("id"), v1.alias("v1"), v2.alias("v2"), F.col(f"`{text}`").cast("string").alias("text"))
+    rarity = rarity_table(base, "text", n)
+    kind = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("class_key", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("head", T.ArrayType(T.LongType()))])
 
     def keys(texts):
         sets = shingle_sets(texts, n)
-        return [pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())]
+        return [
+            pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+            pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([prefix(s, rarity, percent) for s in sets], pa.list_(pa.int64())),
+        ]
 
-    rows = materialize(map_texts(base, "text", ["id"], kind, keys), "ngram-rows")
-    classes = materialize(rows.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("class_key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("size")), "ngram-classes")
-    only = classes.select("id").distinct()
-    firsts = materialize(base.join(only, "id", "left_semi").dropDuplicates(["id"]), "ngram-firsts")
-    rarity = rarity_table(base, "text", n)
-    made = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("bits", T.BinaryType()), T.StructField("head", T.ArrayType(T.LongType()))])
+    rows = materialize(map_texts(base, "text", ["id", "v1", "v2"], kind, keys), "ngram-rows")
+    # equal sets have equal sizes, bits and heads
+    one = rows.filter("n_shingles > 0").groupBy("class_key").agg(F.min("id").alias("id"), F.min(F.struct("v1", "v2")).alias("v"), F.min("n_shingles").cast("int").alias("size"), F.first("bits").alias("bits"), F.first("head").alias("head"))
+    return rows, materialize(one.orderBy(F.asc_nulls_last("id"), "class_key").withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
 
-    def signatures(texts):
-        sets = shingle_sets(texts, n)
-        return [pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([prefix(s, rarity, percent) for s in sets], pa.list_(pa.int64()))]
 
-    signed = materialize(map_texts(firsts, "text", ["id"], made, signatures), "ngram-signed")
+def memberships(df: DataFrame, id_col: str, text: str, n: int, percent: int, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows and classes as by ``classes_of``, and links (a, b) between classes, by number: such as connect whatever is linked, or ``every`` one."""
+    rows, classes = classes_of(df, id_col, text, n, percent)
     band = F.floor(F.log("size") / F.lit(float(np.log(100 / percent)))).cast("int")
-    entries = signed.select("id", "size", band.alias("band"), F.posexplode("head").alias("pos", "word"))
+    entries = classes.select("node", "size", band.alias("band"), F.posexplode("head").alias("pos", "word"))
     shared = entries.groupBy("word").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("word")
     tiles = materialize(entries.join(shared, "word", "left_semi"), "ngram-tiles")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Candidate pairs (a, b) that pass the bit bound and link."""
-        bits = signed.select("id", "size", "bits")
-        one = salted_join(pairs, bits.select(F.col("id").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba")), "a")
-        two = salted_join(one, bits.select(F.col("id").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb")), "b")
+        bits = classes.select("node", "size", "bits")
+        one = salted_join(pairs, bits.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba")), "a")
+        two = salted_join(one, bits.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb")), "b")
 
         def bound(batches):
             for batch in batches:
@@ -176,12 +196,17 @@ def memberships(df: DataFrame, id_col: str, text: str, n: int, percent: int, eve
                 yield batch.select(["a", "b"]).filter(pa.array(100 * most >= percent * (both - most)))
 
         passed = materialize(two.mapInArrow(bound, "a long, b long"), "ngram-passed")
-        needed = passed.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        needed = passed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = materialize(classes.join(needed, "node", "left_semi").select("node", "v"), "ngram-wanted")
+        # one text a class, by the key of the text; other texts stay out of the shuffle where the bit table does not know them
+        known, test = bit_table(wanted.select("v.v1"), 1 << 16)
+        v1, v2 = F.xxhash64(F.col(f"`{text}`").cast("string")), F.xxhash64(F.lit(1), F.col(f"`{text}`").cast("string"))
+        texts = df.select(F.col(f"`{text}`").cast("string").alias("text")).withColumn("__bits", known).filter(test(F.col("__bits"), v1)).select("text")
+        texts = texts.select("text", F.struct(v1.alias("v1"), v2.alias("v2")).alias("v")).dropDuplicates(["v"]).join(wanted, "v")
         arrays = T.StructType([T.StructField("s", T.ArrayType(T.LongType()))])
-        sets = map_texts(firsts.join(needed, "id", "left_semi"), "text", ["id"], arrays, lambda texts: [pa.array(shingle_sets(texts, n), pa.list_(pa.int64()))])
-        sets = materialize(sets, "ngram-sets")
-        left = salted_join(passed, sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-        whole = salted_join(left, sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        sets = materialize(map_texts(texts, "text", ["node"], arrays, lambda texts: [pa.array(shingle_sets(texts, n), pa.list_(pa.int64()))]), "ngram-sets")
+        left = salted_join(passed, sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+        whole = salted_join(left, sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
 
         def exact(batches):
             for batch in batches:
@@ -192,43 +217,74 @@ def memberships(df: DataFrame, id_col: str, text: str, n: int, percent: int, eve
                     good.append(100 * n_both >= percent * (len(x) + len(y) - n_both))
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        return materialize(whole.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long"), "ngram-links")
+        links = materialize(whole.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long"), "ngram-links")
+        release(passed, wanted, sets)
+        return links
 
     def meeting(members: DataFrame) -> DataFrame:
         """Pairs (a, b) of members of one tile, of different labels, that pass the length and positional filters."""
-        p, i = members.alias("p"), members.select("word", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "id", "size", "pos", "label").alias("i")
+        p, i = members.alias("p"), members.select("word", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "node", "size", "pos", "label").alias("i")
         small, large = F.least("p.size", "i.size"), F.greatest("p.size", "i.size")
         room = F.least(F.col("p.size") - F.col("p.pos"), F.col("i.size") - F.col("i.pos"))
-        rest = p.join(i, ["word", "band"]).filter((F.col("p.id") < F.col("i.id")) & (F.col("p.label") != F.col("i.label")) & (100 * small >= percent * large) & ((100 + percent) * room >= percent * (small + large)))
-        return rest.select(F.col("p.id").alias("a"), F.col("i.id").alias("b")).distinct()
+        rest = p.join(i, ["word", "band"]).filter((F.col("p.node") < F.col("i.node")) & (F.col("p.label") != F.col("i.label")) & (100 * small >= percent * large) & ((100 + percent) * room >= percent * (small + large)))
+        return rest.select(F.col("p.node").alias("a"), F.col("i.node").alias("b")).distinct()
 
     if every:
-        return rows, verified(meeting(tiles.withColumn("label", F.col("id"))))
-    heads = tiles.groupBy("word", "band").agg(F.min("id").alias("a"))
+        return rows, classes, verified(meeting(tiles.withColumn("label", F.col("node"))))
+    heads = tiles.groupBy("word", "band").agg(F.min("node").alias("a"))
     spread = heads.select("word", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "a")
-    near = tiles.select("word", "band", F.col("id").alias("b")).join(spread, ["word", "band"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = tiles.select("word", "band", F.col("node").alias("b")).join(spread, ["word", "band"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = verified(near)
-    label = materialize(components(links), "ngram-labels")
-    named = tiles.join(label, tiles["id"] == label["node"], "left").select("word", "band", "id", "size", "pos", F.coalesce("component", "id").alias("label"))
+    label = materialize(components(links).withColumnRenamed("node", "of"), "ngram-labels")
+    named = tiles.join(label, tiles["node"] == label["of"], "left").select("word", "band", "node", "size", "pos", F.coalesce("component", "node").alias("label"))
     mixed_tiles = named.groupBy("word").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("word")
     open_ = materialize(named.join(mixed_tiles, "word", "left_semi"), "ngram-open")
+    release(tiles)
     more = verified(meeting(open_))
-    return rows, links.union(more)
+    release(open_, label)
+    return rows, classes, links.union(more)
 
 
 def group_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id) for every row."""
-    rows, links = memberships(df, id_col, text, n, percent)
-    label = components(links)
-    classes = rows.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("class_key").agg(F.min("id").alias("first"))
-    named = classes.join(label, F.col("first") == F.col("node"), "left").select("class_key", F.coalesce("component", "first").alias("component_id"))
-    found = salted_join(rows.filter("n_shingles > 0"), named, "class_key", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    return found.union(rows.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
+    """(id, n_shingles, component_id, first) for every row; ``first`` tells whether the row is of the class that names its component (the others are near copies)."""
+    rows, classes, links = memberships(df, id_col, text, n, percent)
+    label = components(links).withColumnRenamed("node", "of")
+    roots = classes.join(label, F.col("node") == F.col("of"), "left").select("class_key", F.coalesce("component", "node").alias("root"), "node")
+    named = salted_join(roots, classes.select(F.col("node").alias("root"), F.col("id").alias("component_id")), "root")
+    named = named.select("class_key", "component_id", (F.col("root") == F.col("node")).alias("first"))
+    found = salted_join(rows.filter("n_shingles > 0").select("id", "n_shingles", "class_key"), named, "class_key", "left").select("id", "n_shingles", "component_id", "first")
+    return found.union(rows.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), F.lit(True)))
 
 
 def class_links(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(a, b), a < b, for all linked pairs of classes of equal sets, each named by its smallest id; members of a class link with one another besides."""
-    return memberships(df, id_col, text, n, percent, every=True)[1]
+    """(a, b) for all linked pairs of classes of equal sets, each named by its smallest id; members of a class link with one another besides."""
+    _, classes, links = memberships(df, id_col, text, n, percent, every=True)
+    names = classes.select("node", "id")
+    one = links.join(names.select(F.col("node").alias("a"), F.col("id").alias("ia")), "a")
+    return one.join(names.select(F.col("node").alias("b"), F.col("id").alias("ib")), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+
+
+def first_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """``df`` with one row of each group of near copies: of the row's class that names the group, that of the smallest id and, among rows of one id, of the smallest text key; rows equal in id and text are one. Rows without words stay."""
+    rows, classes, links = memberships(df, id_col, text, n, percent)
+    label = components(links).withColumnRenamed("node", "of")
+    roots = classes.join(label, F.col("node") == F.col("of"), "left_anti").select("class_key").union(classes.join(label.filter("component = of"), F.col("node") == F.col("of"), "left_semi").select("class_key"))
+    keep = salted_join(rows.filter("n_shingles > 0").select("id", "v1", "v2", "class_key"), roots, "class_key")
+    keep = keep.groupBy("class_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "v1", "v2")).alias("m")).select("m.*")
+    keys = rows.filter("n_shingles > 0").groupBy("id", "v1", "v2").agg(F.count(F.lit(1)).alias("times"))
+    kept = keep.select(F.col("id").alias("kid"), F.col("v1").alias("k1"), F.col("v2").alias("k2"))
+    marked = keys.join(kept, F.col("id").eqNullSafe(F.col("kid")) & (F.col("v1") == F.col("k1")) & (F.col("v2") == F.col("k2")), "left")
+    changed = marked.filter("k1 IS NULL OR times > 1").select(F.col("id").alias("__id"), F.col("v1").alias("__v1"), F.col("v2").alias("__v2"), F.col("k1").isNull().alias("__gone"))
+    changed = materialize(changed, "ngram-changed")
+    # rows that stay as they are need no shuffle
+    v1, v2 = F.xxhash64(F.col(f"`{text}`").cast("string")), F.xxhash64(F.lit(1), F.col(f"`{text}`").cast("string"))
+    known, test = bit_table(changed.select("__v1"), 1 << 16)
+    marked = df.withColumn("__bits", known)
+    hit = F.coalesce(test(F.col("__bits"), v1), F.lit(False)) & F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"[^\x20\t-\r]"), F.lit(False))
+    own = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__w1") == F.col("__v1")) & (F.col("__w2") == F.col("__v2"))
+    some = marked.filter(hit).drop("__bits").withColumns({"__w1": v1, "__w2": v2}).dropDuplicates([id_col, "__w1", "__w2"])
+    some = some.join(changed.filter("__gone"), own, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    return marked.filter(~hit).select(*[F.col(f"`{c}`") for c in df.columns]).unionAll(some)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
