@@ -5,11 +5,14 @@ Texts are cut into cores of ``CORE`` bytes; each direction first runs over
 exactly one core and is labelled once. A document's probabilities are the mean
 of its positions' probabilities. Gates use the clipped linear forms of the
 logistic function and the hyperbolic tangent, in training and in prediction.
+Beyond a text's ends the update gate is shut, so a state is that of the text
+alone however short it is.
 
-Training is backpropagation through time with Adam on a bounded sample:
-at most ``SAMPLE_PER_LANGUAGE`` documents a language (chosen by a hash of their
-id among those that may be learned from), of each one piece of
-``PIECE_CHARS`` characters at a hashed offset.
+Training is backpropagation through time with Adam on a bounded sample: about
+``SAMPLE_PER_LANGUAGE`` distinct texts a language (chosen by a hash of id and
+text among those that may be learned from), of each ``SPANS`` spans anywhere in
+the whole text, of ``SHORTEST`` to ``LONGEST`` characters, short ones as often
+as long ones of double the length.
 
 Rows: every input row gives one row. Null texts and texts without a letter get
 ``und`` and score 0; if no language can be learned, every text gets ``und``.
@@ -25,13 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sieveline.llm.common import crc_mod, map_texts, table, unit_hash
+from sieveline.llm.common import crc_mod, map_texts, table
 
 HIDDEN = 8
 CORE, WARM = 160, 16
 PAD = 256
-SAMPLE_PER_LANGUAGE = 1500
-PIECE_CHARS = 240
+SAMPLE_PER_LANGUAGE = 800
+SPANS, SHORTEST, LONGEST = 4, 10, 160
+SHUT = -30.0
 BLOCK = 2048
 UNDETERMINED = "und"
 
@@ -59,6 +63,7 @@ def windows(blob: np.ndarray, begin: np.ndarray, end: np.ndarray, start: np.ndar
 def direction(rng: np.random.Generator, hidden: int) -> list[np.ndarray]:
     """One direction's weights: for update gate, reset gate and candidate a row of inputs per symbol, then their recurrent matrices."""
     tables = [(rng.normal(0, 0.3, (PAD + 1, hidden)) + shift).astype(np.float32) for shift in (0.5, 0.5, 0)]
+    tables[0][PAD] = SHUT  # the state stays as it is; no gradient reaches this row
     return [*tables, *(rng.normal(0, 0.5 / hidden**0.5, (hidden, hidden)).astype(np.float32) for _ in range(3))]
 
 
@@ -206,20 +211,26 @@ def label_positions(weights: list[np.ndarray], texts: list[bytes]) -> tuple[np.n
     return sums, votes
 
 
-def sample_pieces(df: DataFrame, text: str, label: str, id_col: str, cap: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """At most about ``cap`` rows a label, chosen by id hash, each cut to one piece at a hashed offset."""
+def sample_spans(df: DataFrame, text: str, label: str, id_col: str, cap: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+    """(label, piece): spans of about ``cap`` distinct texts a label, chosen by a hash of id and text; repeated rows count once."""
     rows = df.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & F.col(text).rlike(r"\p{L}"))
     counts = {r[0]: r[1] for r in df.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
     if not counts:
-        return rows.limit(0).select(F.col(label).alias("label"), F.col(text).alias("piece"))
+        return rows.limit(0).select(F.col(label).cast("string").alias("label"), F.col(text).alias("piece"))
     chance = F.coalesce(*[F.when(F.col(label) == k, F.lit(min(1.0, cap / n))) for k, n in sorted(counts.items(), key=str)])
-    offset = (unit_hash(id_col, 1) * F.greatest(F.lit(1), F.length(text) - PIECE_CHARS)).cast("int")
-    return rows.filter(unit_hash(id_col) < chance).select(F.col(label).cast("string").alias("label"), F.substr(F.col(text), offset + 1, F.lit(PIECE_CHARS)).alias("piece"))
+    draw = lambda seed, *more: F.pmod(F.xxhash64("text", F.lit(seed), *more), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = rows.filter(F.pmod(F.xxhash64(id_col, text), F.lit(1 << 30)) / F.lit(float(1 << 30)) < chance)
+    texts = chosen.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text")).distinct()
+    spans = texts.select("label", "text", F.explode(F.sequence(F.lit(0), F.lit(SPANS - 1))).alias("k"))
+    size = F.floor(F.lit(float(SHORTEST)) * F.pow(F.lit(LONGEST / SHORTEST), draw(1, F.col("k")))).cast("int")
+    spans = spans.select("label", "text", size.alias("size"), draw(2, F.col("k")).alias("at"))
+    begin = F.floor(F.col("at") * F.greatest(F.lit(1), F.length("text") - F.col("size") + 1)).cast("int")
+    return spans.select("label", F.substr(F.col("text"), begin + 1, F.col("size")).alias("piece")).filter(F.col("piece").rlike(r"\p{L}"))
 
 
 def fit(df: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id") -> tuple[list[str], list[np.ndarray]]:
     """Labels in order and the trained weights; df holds only rows that may be learned from."""
-    got = sorted((r["label"], r["piece"].encode()) for r in sample_pieces(df, text, label, id_col).collect())
+    got = sorted((r["label"], r["piece"].encode()) for r in sample_spans(df, text, label, id_col).collect())
     names = sorted({k for k, _ in got})
     if not names:
         return [], []

@@ -76,7 +76,7 @@ def accepted(kind: str, found: re.Match) -> bool:
         head = text.split(b".", 1)[0]
         try:
             return isinstance(json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4))), dict)
-        except ValueError:
+        except (ValueError, RecursionError):  # no JSON, or nested beyond any header
             return False
     return True
 
