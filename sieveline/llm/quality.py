@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     room = F.greatest(F.lit(1), F.length(body) - CHUNK)
     pieces = F.array(*[F.substr(body, (unit_hash(id_col, 10 + k) * room).cast("int") + 1, F.lit(CHUNK)) for k in range(PIECES)])
-    got = docs.select(id_col, text).join(chosen, id_col).select(F.col(id_col).alias("id"), F.col("__label").alias("label"), pieces.alias("pieces")).collect()
+    got = docs.select(id_col, text).join(chosen, id_col).select(F.col(id_col).alias("id"), F.col("__label").alias("label"), pieces.alias("pieces")).groupBy("id", "label").agg(F.min("pieces").alias("pieces")).collect()  # one text an id
     got.sort(key=lambda r: (str(r["id"]), r["pieces"]))
     if len({r["label"] for r in got}) < 2:
         return float(got[0]["label"]) if got else 0.5
