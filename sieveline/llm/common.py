@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +108,17 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def pieces_of(batch: pa.RecordBatch, piece_mb: int) -> Iterable[pa.RecordBatch]:
+    """Runs of rows whose last column has about ``piece_mb`` MB, or a single longer text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = int(sizes[at - 1]) if at else 0
+        upto = max(at + 1, int(np.searchsorted(sizes, before + (piece_mb << 20), "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def map_texts(df: DataFrame, text: str, keep: Sequence[str], added: T.StructType, fn: Callable[[list[bytes]], Iterable[pa.Array]], piece_mb: int = 8) -> DataFrame:
     """Apply ``fn`` to the texts of each Arrow batch, in pieces of about ``piece_mb`` MB; rows stay in place.
 
@@ -121,11 +134,7 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], added: T.StructType
 
     def run(batches):
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            size = max(1, column.nbytes // max(1, batch.num_rows))
-            step = max(1, (piece_mb << 20) // size)
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            for part in pieces_of(batch, piece_mb):
                 made = list(fn(texts_of(part.column(part.num_columns - 1))))
                 made = [a if a.type == f.type else a.cast(f.type) for a, f in zip(made, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *made], names=[*keep, *arrow.names])

@@ -38,13 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sieveline.llm.common import bit_table, components, map_texts, materialize, release, salted_join, table
+from sieveline.llm.common import bit_table, components, map_texts, materialize, pieces_of, release, salted_join, table, texts_of
 
 RARITY_BUCKETS = 1 << 18
 BITMAP_BITS = 512
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CHUNK_BYTES = 1 << 20
+PIECE_MB = 2
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -138,8 +139,8 @@ def rarity_table(df: DataFrame, text: str, n: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(RARITY_BUCKETS, np.int64)
         for batch in batches:
-            sets = shingle_sets([x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()], n)
-            if sets:
+            for part in pieces_of(batch, PIECE_MB):
+                sets = shingle_sets(texts_of(part.column(0)), n)
                 total += np.bincount((np.concatenate(sets).view(np.uint64) & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64), minlength=RARITY_BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["b", "n"])
@@ -165,7 +166,7 @@ def classes_of(df: DataFrame, id_col: str, text: str, n: int, percent: int) -> t
             pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([prefix(s, rarity, percent) for s in sets], pa.list_(pa.int64())),
         ]
 
-    rows = materialize(map_texts(base, "text", ["id", "v1", "v2"], kind, keys), "ngram-rows")
+    rows = materialize(map_texts(base, "text", ["id", "v1", "v2"], kind, keys, PIECE_MB), "ngram-rows")
     # equal sets have equal sizes, bits and heads
     one = rows.filter("n_shingles > 0").groupBy("class_key").agg(F.min("id").alias("id"), F.min(F.struct("v1", "v2")).alias("v"), F.min("n_shingles").cast("int").alias("size"), F.first("bits").alias("bits"), F.first("head").alias("head"))
     return rows, materialize(one.orderBy(F.asc_nulls_last("id"), "class_key").withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
@@ -204,7 +205,7 @@ def memberships(df: DataFrame, id_col: str, text: str, n: int, percent: int, eve
         texts = df.select(F.col(f"`{text}`").cast("string").alias("text")).withColumn("__bits", known).filter(test(F.col("__bits"), v1)).select("text")
         texts = texts.select("text", F.struct(v1.alias("v1"), v2.alias("v2")).alias("v")).dropDuplicates(["v"]).join(wanted, "v")
         arrays = T.StructType([T.StructField("s", T.ArrayType(T.LongType()))])
-        sets = materialize(map_texts(texts, "text", ["node"], arrays, lambda texts: [pa.array(shingle_sets(texts, n), pa.list_(pa.int64()))]), "ngram-sets")
+        sets = materialize(map_texts(texts, "text", ["node"], arrays, lambda texts: [pa.array(shingle_sets(texts, n), pa.list_(pa.int64()))], PIECE_MB), "ngram-sets")
         left = salted_join(passed, sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
         whole = salted_join(left, sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
 
