@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import sieveline
+from sieveline.shared import shared_dir
 
 # Functions that run on executors travel by value, so a cluster needs no installed copy of this package.
 cloudpickle.register_pickle_by_value(sieveline)
@@ -31,21 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); where none is set, a local one for a local master, as in tests, and an error else."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir is not set: on a cluster, intermediates need a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="sieveline-shared-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors.
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sieveline.llm.common import bit_table, components, map_texts, materialize, pieces_of, release, salted_join, table, texts_of
+from sieveline.llm.common import bit_table, components, map_texts, materialize, pieces_of, release, table, texts_of
 
 RARITY_BUCKETS = 1 << 18
 BITMAP_BITS = 512
@@ -183,8 +183,9 @@ def memberships(df: DataFrame, id_col: str, text: str, n: int, percent: int, eve
     def verified(pairs: DataFrame) -> DataFrame:
         """Candidate pairs (a, b) that pass the bit bound and link."""
         bits = classes.select("node", "size", "bits")
-        one = salted_join(pairs, bits.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba")), "a")
-        two = salted_join(one, bits.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb")), "b")
+        # a class has as many pairs as candidates; Spark splits skewed joins, and one side is unique
+        one = pairs.join(bits.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba")), "a")
+        two = one.join(bits.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb")), "b")
 
         def bound(batches):
             for batch in batches:
@@ -206,8 +207,8 @@ def memberships(df: DataFrame, id_col: str, text: str, n: int, percent: int, eve
         texts = texts.select("text", F.struct(v1.alias("v1"), v2.alias("v2")).alias("v")).dropDuplicates(["v"]).join(wanted, "v")
         arrays = T.StructType([T.StructField("s", T.ArrayType(T.LongType()))])
         sets = materialize(map_texts(texts, "text", ["node"], arrays, lambda texts: [pa.array(shingle_sets(texts, n), pa.list_(pa.int64()))], PIECE_MB), "ngram-sets")
-        left = salted_join(passed, sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-        whole = salted_join(left, sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        left = passed.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+        whole = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
 
         def exact(batches):
             for batch in batches:
@@ -222,20 +223,24 @@ def memberships(df: DataFrame, id_col: str, text: str, n: int, percent: int, eve
         release(passed, wanted, sets)
         return links
 
+    def fits():
+        """The length and positional filters for entries p and i of one tile: before their first shared shingle nothing is shared, and after it no more than is left."""
+        small, large = F.least("p.size", "i.size"), F.greatest("p.size", "i.size")
+        room = F.least(F.col("p.size") - F.col("p.pos"), F.col("i.size") - F.col("i.pos"))
+        return (100 * small >= percent * large) & ((100 + percent) * room >= percent * (small + large))
+
     def meeting(members: DataFrame) -> DataFrame:
         """Pairs (a, b) of members of one tile, of different labels, that pass the length and positional filters."""
         p, i = members.alias("p"), members.select("word", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "node", "size", "pos", "label").alias("i")
-        small, large = F.least("p.size", "i.size"), F.greatest("p.size", "i.size")
-        room = F.least(F.col("p.size") - F.col("p.pos"), F.col("i.size") - F.col("i.pos"))
-        rest = p.join(i, ["word", "band"]).filter((F.col("p.node") < F.col("i.node")) & (F.col("p.label") != F.col("i.label")) & (100 * small >= percent * large) & ((100 + percent) * room >= percent * (small + large)))
+        rest = p.join(i, ["word", "band"]).filter((F.col("p.node") < F.col("i.node")) & (F.col("p.label") != F.col("i.label")) & fits())
         return rest.select(F.col("p.node").alias("a"), F.col("i.node").alias("b")).distinct()
 
     if every:
         return rows, classes, verified(meeting(tiles.withColumn("label", F.col("node"))))
-    heads = tiles.groupBy("word", "band").agg(F.min("node").alias("a"))
-    spread = heads.select("word", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "a")
-    near = tiles.select("word", "band", F.col("node").alias("b")).join(spread, ["word", "band"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = verified(near)
+    heads = tiles.groupBy("word", "band").agg(F.min("node").alias("node"), F.min_by(F.struct("size", "pos"), "node").alias("x"))
+    spread = heads.select("word", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "node", "x.*")
+    near = tiles.alias("p").join(spread.alias("i"), ["word", "band"]).filter((F.col("p.node") != F.col("i.node")) & fits())
+    links = verified(near.select(F.least("p.node", "i.node").alias("a"), F.greatest("p.node", "i.node").alias("b")).distinct())
     label = materialize(components(links).withColumnRenamed("node", "of"), "ngram-labels")
     named = tiles.join(label, tiles["node"] == label["of"], "left").select("word", "band", "node", "size", "pos", F.coalesce("component", "node").alias("label"))
     mixed_tiles = named.groupBy("word").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("word")
@@ -251,9 +256,9 @@ def group_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     rows, classes, links = memberships(df, id_col, text, n, percent)
     label = components(links).withColumnRenamed("node", "of")
     roots = classes.join(label, F.col("node") == F.col("of"), "left").select("class_key", F.coalesce("component", "node").alias("root"), "node")
-    named = salted_join(roots, classes.select(F.col("node").alias("root"), F.col("id").alias("component_id")), "root")
+    named = roots.join(classes.select(F.col("node").alias("root"), F.col("id").alias("component_id")), "root")
     named = named.select("class_key", "component_id", (F.col("root") == F.col("node")).alias("first"))
-    found = salted_join(rows.filter("n_shingles > 0").select("id", "n_shingles", "class_key"), named, "class_key", "left").select("id", "n_shingles", "component_id", "first")
+    found = rows.filter("n_shingles > 0").select("id", "n_shingles", "class_key").join(named, "class_key", "left").select("id", "n_shingles", "component_id", "first")
     return found.union(rows.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), F.lit(True)))
 
 
@@ -270,7 +275,7 @@ def first_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: i
     rows, classes, links = memberships(df, id_col, text, n, percent)
     label = components(links).withColumnRenamed("node", "of")
     roots = classes.join(label, F.col("node") == F.col("of"), "left_anti").select("class_key").union(classes.join(label.filter("component = of"), F.col("node") == F.col("of"), "left_semi").select("class_key"))
-    keep = salted_join(rows.filter("n_shingles > 0").select("id", "v1", "v2", "class_key"), roots, "class_key")
+    keep = rows.filter("n_shingles > 0").select("id", "v1", "v2", "class_key").join(roots, "class_key")
     keep = keep.groupBy("class_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "v1", "v2")).alias("m")).select("m.*")
     keys = rows.filter("n_shingles > 0").groupBy("id", "v1", "v2").agg(F.count(F.lit(1)).alias("times"))
     kept = keep.select(F.col("id").alias("kid"), F.col("v1").alias("k1"), F.col("v2").alias("k2"))
