@@ -205,22 +205,22 @@ def memberships(df: DataFrame, id_col: str, text: str, n: int, percent: int, eve
         v1, v2 = F.xxhash64(F.col(f"`{text}`").cast("string")), F.xxhash64(F.lit(1), F.col(f"`{text}`").cast("string"))
         texts = df.select(F.col(f"`{text}`").cast("string").alias("text")).withColumn("__bits", known).filter(test(F.col("__bits"), v1)).select("text")
         texts = texts.select("text", F.struct(v1.alias("v1"), v2.alias("v2")).alias("v")).dropDuplicates(["v"]).join(wanted, "v")
-        arrays = T.StructType([T.StructField("s", T.ArrayType(T.LongType()))])
-        sets = materialize(map_texts(texts, "text", ["node"], arrays, lambda texts: [pa.array(shingle_sets(texts, n), pa.list_(pa.int64()))], PIECE_MB), "ngram-sets")
-        left = passed.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-        whole = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        # texts travel to their pairs: they compress, hashes of their shingles do not
+        texts = materialize(texts.select("node", "text"), "ngram-texts")
+        left = passed.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        whole = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
         def exact(batches):
             for batch in batches:
-                good = []
-                for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                    x, y = x.values.to_numpy(), y.values.to_numpy()
-                    n_both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(100 * n_both >= percent * (len(x) + len(y) - n_both))
-                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-        links = materialize(whole.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long"), "ngram-links")
-        release(passed, wanted, sets)
+                for part in pieces_of(batch, PIECE_MB):
+                    good = []
+                    for x, y in zip(*(shingle_sets(texts_of(part.column(c)), n) for c in ("ta", "tb")), strict=True):
+                        n_both = len(np.intersect1d(x, y, assume_unique=True))
+                        good.append(100 * n_both >= percent * (len(x) + len(y) - n_both))
+                    yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+        links = materialize(whole.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"), "ngram-links")
+        release(passed, wanted, texts)
         return links
 
     def fits():
