@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sieveline.functions.text import collapse, fold, fold_word, strip
+
+#: Longest URL, forms of a URL and an address, lengths of shown items.
 URL_LIMIT = 2048
+MOST_LINES, LINE_LIMIT, WHOLE_LIMIT = 8, 180, 240
 _URL = r"^[Hh][Tt][Tt][Pp][Ss]://([^/?#@:\[\]\\]+)(?::([0-9]{0,5}))?(/[^?#]*)?(?:[?#].*)?$"
 _OCTETS = r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.|$)){4}$"
 
@@ -47,15 +51,15 @@ def keyword_filter(text: Column, include: Sequence[str], exclude: Sequence[str])
 
 
 def role_match(text: Column, roles: Sequence[str]) -> Column:
-    """Whether the text holds a whole role, or all of its parts between slashes."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    """Whether the folded text holds a whole role, or all of its parts between slashes; blank roles match nothing."""
+    low = fold(F.coalesce(text, F.lit("")))
     found = F.lit(False)
-    for role in roles:
-        parts = [p.strip().lower() for p in role.split("/") if p.strip()]
+    for role in filter(None, map(fold_word, roles)):
+        parts = [p.strip() for p in role.split("/") if p.strip()]
         every = F.lit(bool(parts))
         for p in parts:
             every = every & low.contains(p)
-        found = found | low.contains(role.lower()) | every
+        found = found | low.contains(role) | every
     return found
 
 
@@ -66,24 +70,33 @@ def known_terms(text: Column, terms: Sequence[str]) -> Column:
 
 
 def truncate(text: Column, limit: int) -> Column:
-    """At most ``limit`` characters; a longer text ends in an ellipsis."""
-    return F.when(F.length(text) > limit, F.concat(F.rtrim(F.left(text, F.lit(limit - 1))), F.lit("…"))).otherwise(text)
+    """At most ``limit`` characters; a longer text ends in an ellipsis, without white space before it."""
+    return F.when(F.length(text) > limit, F.concat(F.regexp_replace(F.left(text, F.lit(limit - 1)), r"(?U)[\s\x1C-\x1F]+$", ""), F.lit("…"))).otherwise(text)
 
 
-def requirement_lines(text: Column, most: int = 8, limit: int = 180, whole: int = 240) -> Column:
-    """The first lines and bullets of a section, trimmed, each cut to ``limit`` characters; a text that has none but is not empty is one line, cut to ``whole``."""
-    lines = F.filter(F.transform(F.split(text, "[\n•ㆍ]"), lambda x: F.trim(x)), lambda x: x != "")
+def requirement_lines(text: Column, most: int = MOST_LINES, limit: int = LINE_LIMIT, whole: int = WHOLE_LIMIT) -> Column:
+    """The first lines and bullets of a section, white space collapsed, each cut to ``limit`` characters; a text that has none but is not empty is one line, cut to ``whole``."""
+    lines = F.filter(F.transform(F.split(text, "[\n•ㆍ]+"), collapse), lambda x: x != "")
     found = F.transform(F.slice(lines, 1, most), lambda x: truncate(x, limit))
     return F.when((F.size(found) == 0) & (text != ""), F.array(truncate(text, whole))).otherwise(found)
 
 
+def section_lines(text: Column, headings: Sequence[str], window: int = 1200) -> Column:
+    """Lines after the first heading, in the order of headings, that the text holds in any case: the second to the fifth of its window, or else up to three."""
+    low = F.lower(text)
+    at = F.coalesce(*[F.nullif(F.locate(h.lower(), low), F.lit(0)) for h in headings])
+    lines = requirement_lines(F.substr(text, at, F.lit(window)))
+    after = F.slice(lines, 2, 4)
+    return F.when(at.isNull(), F.array().cast("array<string>")).when(F.size(after) > 0, after).otherwise(F.slice(lines, 1, 3))
+
+
 def ordered_distinct(items: Column) -> Column:
-    """Trimmed items without blanks, each at its first place."""
-    return F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+    """Items with white space collapsed, without blanks, each at its first place."""
+    return F.array_distinct(F.filter(F.transform(items, collapse), lambda x: x.isNotNull() & (x != "")))
 
 
 def section(text: Column, starts: Sequence[str], ends: Sequence[str]) -> Column:
-    """Text after the earliest start marker up to the nearest end marker after it, or to the end; null without a start."""
+    """Text after the earliest start marker up to the nearest end marker after it, or to the end, without white space around it; empty without a start."""
 
     def least(t: Column, markers: Sequence[str]) -> Column:
         """(position, length) of the first marker; of those at one place, the first listed."""
@@ -93,12 +106,15 @@ def section(text: Column, starts: Sequence[str], ends: Sequence[str]) -> Column:
     start = least(text, starts)
     rest = F.substr(text, start["at"] + start["n"])
     end = least(rest, ends)
-    return F.when(start.isNotNull(), F.trim(F.when(end.isNotNull(), F.substr(rest, F.lit(1), end["at"] - 1)).otherwise(rest)))
+    cut = F.when(end.isNotNull(), F.substr(rest, F.lit(1), end["at"] - 1)).otherwise(rest)
+    return F.when(text.isNull(), F.lit(None).cast("string")).when(start.isNull(), "").otherwise(strip(cut))
 
 
-def hashed_key(prefix: str, basis: Column) -> Column:
-    """First 32 hex digits of the SHA-256 of the prefix, a NUL, and the canonical JSON of a struct."""
-    return F.left(F.sha2(F.concat(F.lit(prefix).cast("binary"), F.unhex(F.lit("00")), F.to_json(basis, {"ignoreNullFields": "false"}).cast("binary")), 256), F.lit(32))
+def hashed_key(prefix: str, basis: Column, within: str | None = None) -> Column:
+    """First 32 hex digits of the SHA-256 of the prefix, a NUL, (``within`` and another NUL,) and the canonical JSON of a struct."""
+    nul = F.unhex(F.lit("00"))
+    head = [F.lit(prefix).cast("binary"), nul] + ([] if within is None else [F.lit(within).cast("binary"), nul])
+    return F.left(F.sha2(F.concat(*head, F.to_json(basis, {"ignoreNullFields": "false"}).cast("binary")), 256), F.lit(32))
 
 
 def component(weight: int, num: Column, den: Column) -> Column:

@@ -20,11 +20,6 @@ def q_ranked_postings(spark, d):
     return best.select("doc_id", "source", score.alias("score"), F.col("group_size").alias("copies"))
 
 
-def a01_source_metrics(spark, d):
-    docs = _t(spark, d, "documents")
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang").isNull()).alias("no_lang"), F.sum("n_chars").alias("chars"), (F.count("text") - F.count_distinct("text")).alias("duplicates"))
-
-
 def a03_reason_counts(spark, d):
     docs = _t(spark, d, "documents")
     reasons = F.array_compact(F.array(F.when(F.col("lang").isNull(), "language_unknown"), F.when(F.col("n_chars") < 200, "short"), F.when(F.col("n_chars") > 20000, "long")))
@@ -41,7 +36,7 @@ def a13_latest_movement(spark, d):
 
 
 def p02_normalize_scalar(spark, d):
-    return _t(spark, d, "documents").select("doc_id", scalars.normalize_scalar(F.split("text", "\n")[0]).alias("title"))
+    return _t(spark, d, "documents").select("doc_id", scalars.normalize_scalar(F.col("text")).alias("plain"))
 
 
 def p04_source_id(spark, d):
@@ -56,16 +51,20 @@ def p18_visible_text(spark, d):
     return _t(spark, d, "pages").select("page_id", scalars.visible_text(F.col("html")).alias("visible"))
 
 
-QUERIES = {f.__name__: f for f in (q_ranked_postings, a01_source_metrics, a03_reason_counts, a12_count_check, a13_latest_movement, p02_normalize_scalar, p04_source_id, p05_identifier, p18_visible_text)}
+QUERIES = {f.__name__: f for f in (q_ranked_postings, a03_reason_counts, a12_count_check, a13_latest_movement, p02_normalize_scalar, p04_source_id, p05_identifier, p18_visible_text)}
+
+# the four entities that occur
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+for _name, _char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_name}', '{_char}')"
 
 ORACLES = {
     "q_ranked_postings": "SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, CAST(least(100, floor(arg_min(n_chars, doc_id) / 100)) AS BIGINT) AS score, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text",
-    "a01_source_metrics": "SELECT source, count(*) AS n, count(*) FILTER (WHERE lang IS NULL) AS no_lang, CAST(sum(n_chars) AS BIGINT) AS chars, count(text) - count(DISTINCT text) AS duplicates FROM documents GROUP BY source",
     "a03_reason_counts": "SELECT reason, count(*) AS n FROM (SELECT 'language_unknown' AS reason FROM documents WHERE lang IS NULL UNION ALL SELECT 'short' FROM documents WHERE n_chars < 200 UNION ALL SELECT 'long' FROM documents WHERE n_chars > 20000) GROUP BY reason",
     "a12_count_check": "SELECT coalesce(o_orderkey, l_orderkey) AS key, CASE WHEN o_orderkey IS NOT NULL THEN CAST(4 AS BIGINT) END AS claimed, coalesce(n, 0) AS actual FROM orders FULL JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey WHERE CASE WHEN o_orderkey IS NOT NULL THEN 4 END IS DISTINCT FROM coalesce(n, 0)",
     "a13_latest_movement": "SELECT user_id, arg_max(event_type, row(ts, event_id)) AS event_type FROM events GROUP BY user_id",
-    "p02_normalize_scalar": "SELECT doc_id, nullif(trim(regexp_replace(string_split(text, chr(10))[1], '[\\s\\x0B\\x{85}\\p{Z}]+', ' ', 'g')), '') AS title FROM documents",
-    "p04_source_id": "SELECT doc_id, CASE WHEN regexp_full_match(lower(source), '[a-z0-9][a-z0-9_-]{0,63}') THEN lower(source) END AS source_id FROM documents",
-    "p05_identifier": "SELECT doc_id, CASE WHEN NOT regexp_matches(text, '[\\x00-\\x1f\\x7f]') AND length(text) <= 256 THEN text END AS identifier FROM documents",
-    "p18_visible_text": "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS visible FROM pages",
+    "p02_normalize_scalar": "SELECT doc_id, nullif(trim(regexp_replace(nfc_normalize(text), '[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+', ' ', 'g')), '') AS plain FROM documents",
+    "p04_source_id": "SELECT doc_id, CASE WHEN regexp_full_match(lower(trim(source)), '[a-z0-9][a-z0-9_-]{0,63}') THEN lower(trim(source)) END AS source_id FROM documents",
+    "p05_identifier": "SELECT doc_id, CASE WHEN NOT regexp_matches(text, '[\\x00-\\x1f\\x7f]') AND length(plain) <= 256 THEN nullif(plain, '') END AS identifier FROM (SELECT *, trim(regexp_replace(nfc_normalize(text), '[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+', ' ', 'g')) AS plain FROM documents)",
+    "p18_visible_text": f"SELECT page_id, trim(regexp_replace({_PLAIN}, '[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\p{{Z}}]+', ' ', 'g'), ' ') AS visible FROM pages",
 }

@@ -31,7 +31,7 @@ def p32_requirement_lines(spark, d):
 
 
 def p34_ordered_distinct(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(m.ordered_distinct(F.split("text", "\n"))), "|").alias("items"))
+    return _t(spark, d, "documents").select("doc_id", F.array_join(m.ordered_distinct(F.split("text", "\n")), "|").alias("items"))
 
 
 def p35_truncate(spark, d):
@@ -55,48 +55,16 @@ def d09_component_score(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", m.component(40, F.col("l_linenumber") % 4, F.col("l_orderkey") % 4).alias("points"))
 
 
-def _scored(spark, d):
-    k = F.col("o_orderkey")
-    parts = {"required": (k % 3, k % 3 + k % 2), "responsibilities": (k % 5, F.lit(4) + k % 7), "role": (k % 2, F.lit(1)), "preferred": (F.lit(1), k % 4), "location": (k % 2, F.lit(1))}
-    score = m.total_score(parts, k % 6)
-    orders = _t(spark, d, "orders").select("o_orderkey", "o_custkey", (k % 6).alias("gap"), score.alias("score"))
-    label = m.disposition(k % 97 == 0, F.when(k % 6 == 1, 1).otherwise(0), k % 11 == 0, k % 13 == 0, k % 17 == 0, F.col("score"))
-    return orders.withColumn("label", label)
-
-
-def d10_score(spark, d):
-    return _scored(spark, d).select("o_orderkey", "score")
-
-
-def d12_disposition(spark, d):
-    return _scored(spark, d).select("o_orderkey", "label")
-
-
-def a02_disposition_counts(spark, d):
-    return _scored(spark, d).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("label") == x).alias(x) for x in m.LABEL_PRIORITY])
-
-
-def o01_report(spark, d):
-    """The first 1000 rows in report order; the cap is the report's."""
-    top = _scored(spark, d).select("o_orderkey", "label", "score", m.label_priority(F.col("label")).alias("p")).orderBy("p", F.desc("score"), "o_orderkey").limit(1000)
-    rank = F.row_number().over(Window.orderBy("p", F.desc("score"), "o_orderkey"))  # over 1000 rows at most
-    return top.select(rank.cast("long").alias("rank"), "o_orderkey", "label", "score")
-
-
-def w04_first_of_class(spark, d):
-    """The 20 best of each label; the window's limit is applied before the shuffle."""
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "o_orderkey"))
-    return _scored(spark, d).select("o_orderkey", "label", "score", place.cast("long").alias("place")).filter("place <= 20")
-
-
 def u02_symmetric_difference(spark, d):
-    c, o = _t(spark, d, "customer").select(F.col("c_custkey").alias("k")), _t(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
-    return c.join(o, "k", "left_anti").withColumn("side", F.lit("customer")).union(o.join(c, "k", "left_anti").withColumn("side", F.lit("orders")))
+    """Sources of documents and a list of sources, those on one side alone."""
+    c, o = _t(spark, d, "documents").select(F.col("source").alias("k")).distinct(), _t(spark, d, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("k"))
+    return c.join(o, "k", "left_anti").withColumn("side", F.lit("documents")).union(o.join(c, "k", "left_anti").withColumn("side", F.lit("list")))
 
 
 def j07_orphans(spark, d):
-    lines, orders = _t(spark, d, "lineitem"), _t(spark, d, "orders").filter("o_orderkey % 10 <> 0").select("o_orderkey")
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey, "left_anti").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("orphans"))
+    """Labels and documents against each other: rows of either without the other, which must be none for labels."""
+    labels, docs = _t(spark, d, "labels").select("doc_id"), _t(spark, d, "documents").select("doc_id")
+    return labels.join(docs, "doc_id", "left_anti").withColumn("side", F.lit("label")).union(docs.join(labels, "doc_id", "left_anti").withColumn("side", F.lit("document")))
 
 
 def a19_gate_status(spark, d):
@@ -105,15 +73,17 @@ def a19_gate_status(spark, d):
     return _t(spark, d, "documents").groupBy("source").agg(status.alias("status"))
 
 
-QUERIES = {f.__name__: f for f in (p07_canonical_url, p06_section, p31_known_terms, p32_requirement_lines, p34_ordered_distinct, p35_truncate, f01_keyword_filter, f09_role_match, d17_posting_key, d09_component_score, d10_score, d12_disposition, a02_disposition_counts, o01_report, w04_first_of_class, u02_symmetric_difference, j07_orphans, a19_gate_status)}
+QUERIES = {f.__name__: f for f in (p07_canonical_url, p06_section, p31_known_terms, p32_requirement_lines, p34_ordered_distinct, p35_truncate, f01_keyword_filter, f09_role_match, d17_posting_key, d09_component_score, u02_symmetric_difference, j07_orphans, a19_gate_status)}
 
-_PART = "CASE WHEN {d} > 0 THEN CAST({w} * {n} AS DOUBLE) / {d} ELSE 0 END"
-_SUM = " + ".join(_PART.format(w=w, n=n, d=d) for w, n, d in ((40, "(k % 3)", "(k % 3 + k % 2)"), (20, "(k % 5)", "(4 + k % 7)"), (20, "(k % 2)", "1"), (10, "1", "(k % 4)"), (10, "(k % 2)", "1")))
-_SCORED = f"""WITH s AS (SELECT k, CAST(greatest(0, least(100, floor(round({_SUM}, 9) + 0.5) - CASE WHEN k % 6 = 1 THEN 10 ELSE 0 END)) AS BIGINT) AS score FROM (SELECT o_orderkey AS k FROM orders)),
-l AS (SELECT k AS o_orderkey, score, CASE WHEN k % 97 = 0 THEN 'exclude' WHEN k % 6 = 1 THEN 'hold' WHEN k % 11 = 0 THEN 'expired' WHEN k % 13 = 0 THEN 'exclude' WHEN k % 17 = 0 THEN 'manual_review' WHEN score >= 75 THEN 'apply' WHEN score >= 50 THEN 'hold' ELSE 'low_priority' END AS label FROM s),
-r AS (SELECT *, CASE label {" ".join(f"WHEN '{k}' THEN {v}" for k, v in m.LABEL_PRIORITY.items())} END AS p FROM l) """
 _LOW = "lower(coalesce(text, ''))"
-_CUT = "CASE WHEN length({x}) > {n} THEN rtrim({x}[1:{n} - 1], ' ') || '…' ELSE {x} END"
+_WS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
+_FOLD = f"trim(regexp_replace(replace(replace({_LOW}, 'ß', 'ss'), 'ς', 'σ'), '{_WS}', ' ', 'g'), ' ')"
+_FLAT = f"trim(regexp_replace(x, '{_WS}', ' ', 'g'), ' ')"
+
+
+def _cut(x, n):
+    return f"CASE WHEN length({x}) > {n} THEN regexp_replace({x}[1:{n} - 1], '{_WS}$', '') || '…' ELSE {x} END"
+
 
 ORACLES = {
     "p07_canonical_url": rf"""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '{m._URL}', 1)) AS host, regexp_extract(url, '{m._URL}', 2) AS port, regexp_extract(url, '{m._URL}', 3) AS path FROM pages),
@@ -121,22 +91,18 @@ v AS (SELECT *, coalesce(CAST(nullif(port, '') AS INTEGER), 443) AS n, rtrim(arr
 SELECT page_id, CASE WHEN length(url) <= 2048 AND NOT regexp_matches(url, '[\s\x0B\x{{85}}\p{{Z}}\x00-\x1f\x7f]') AND NOT contains(regexp_replace(url, '%[0-9a-fA-F]{{2}}', '', 'g'), '%') AND regexp_matches(url, '{m._URL}')
 AND regexp_matches(host, '^[\x21-\x7e]{{1,253}}$') AND NOT regexp_matches(host, '(^|\.)(\.|-|$)|-(\.|$)|[^.]{{64}}') AND (NOT regexp_matches(host, '^[0-9]+(\.[0-9]+){{3}}$') OR regexp_matches(host, '{m._OCTETS}'))
 AND n BETWEEN 1 AND 65535 AND regexp_matches(path, '^[A-Za-z0-9._~/!$&''()*+,;=:@%-]*$') THEN 'https://' || host || CASE WHEN n = 443 THEN '' ELSE ':' || n END || CASE WHEN p = '' THEN '/' ELSE p END END AS canonical FROM v""",
-    "p06_section": """WITH a AS (SELECT doc_id, text, least(nullif(instr(text, '. '), 0), nullif(instr(text, '! '), 0)) AS s FROM documents), b AS (SELECT doc_id, text[s + 2:] AS rest FROM a WHERE s IS NOT NULL),
-c AS (SELECT doc_id, rest, least(nullif(instr(rest, '? '), 0), nullif(instr(rest, chr(10)), 0)) AS e FROM b) SELECT d.doc_id, trim(CASE WHEN e IS NOT NULL THEN rest[:e - 1] ELSE rest END, ' ') AS section FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id""",
+    "p06_section": f"""WITH a AS (SELECT doc_id, text, least(nullif(instr(text, '. '), 0), nullif(instr(text, '! '), 0)) AS s FROM documents), b AS (SELECT doc_id, text[s + 2:] AS rest FROM a WHERE s IS NOT NULL),
+c AS (SELECT doc_id, rest, least(nullif(instr(rest, '? '), 0), nullif(instr(rest, chr(10)), 0)) AS e FROM b)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL WHEN rest IS NULL THEN '' ELSE regexp_replace(regexp_replace(CASE WHEN e IS NOT NULL THEN rest[:e - 1] ELSE rest END, '^{_WS}', ''), '{_WS}$', '') END AS section FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id""",
     "p31_known_terms": f"SELECT doc_id, array_to_string(list_filter(['License', 'password', 'the', 'und'], lambda t: contains({_LOW}, lower(t))), ',') AS terms FROM documents",
-    "p32_requirement_lines": f"SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(text, '[\\n•ㆍ]'), lambda x: trim(x, ' ')), lambda x: x <> '')[1:8], lambda x: {_CUT.format(x='x', n=180)}), '|') AS lines FROM documents",
-    "p34_ordered_distinct": "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''))), '|') AS items FROM documents",
-    "p35_truncate": f"SELECT doc_id, {_CUT.format(x='text', n=120)} AS short FROM documents",
+    "p32_requirement_lines": f"""SELECT doc_id, array_to_string(CASE WHEN len(found) = 0 AND text <> '' THEN [{_cut("text", 240)}] ELSE found END, '|') AS lines FROM (SELECT doc_id, text, list_transform(list_filter(list_transform(regexp_split_to_array(text, '[\\n•ㆍ]+'), lambda x: {_FLAT}), lambda x: x <> '')[1:8], lambda x: {_cut("x", 180)}) AS found FROM documents)""",
+    "p34_ordered_distinct": f"SELECT doc_id, array_to_string(list_filter(list_transform(items, lambda x, i: CASE WHEN list_position(items, x) = i THEN x END), lambda x: x IS NOT NULL), '|') AS items FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_FLAT}), lambda x: x <> '') AS items FROM documents)",
+    "p35_truncate": f"SELECT doc_id, {_cut("text", 120)} AS short FROM documents",
     "f01_keyword_filter": f"SELECT doc_id FROM documents WHERE NOT ({' OR '.join(f'contains({_LOW}, {w!r})' for w in EXCLUDE)}) AND ({' OR '.join(f'contains({_LOW}, {w!r})' for w in INCLUDE)})",
-    "f09_role_match": f"SELECT doc_id, (contains({_LOW}, 'a/e') OR (contains({_LOW}, 'a') AND contains({_LOW}, 'e')) OR contains({_LOW}, 'data engineer')) AS matches FROM documents",
+    "f09_role_match": f"SELECT doc_id, (contains({_FOLD}, 'a/e') OR (contains({_FOLD}, 'a') AND contains({_FOLD}, 'e')) OR contains({_FOLD}, 'data engineer')) AS matches FROM documents",
     "d17_posting_key": "SELECT doc_id, sha256('posting-v3\\x00'::BLOB || encode('{\"kind\":\"source_posting_id\",\"source_id\":\"' || coalesce(source, '') || '\",\"value\":\"' || doc_id || '\"}'))[1:32] AS posting_key FROM documents",
     "d09_component_score": "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_orderkey % 4 > 0 THEN floor((2 * 40 * (l_linenumber % 4) + l_orderkey % 4) / (2.0 * (l_orderkey % 4))) ELSE 0 END AS BIGINT) AS points FROM lineitem",
-    "d10_score": _SCORED + "SELECT o_orderkey, score FROM r",
-    "d12_disposition": _SCORED + "SELECT o_orderkey, label FROM r",
-    "a02_disposition_counts": _SCORED + "SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (label = '{x}') AS {x}" for x in m.LABEL_PRIORITY) + " FROM r",
-    "o01_report": _SCORED + "SELECT row_number() OVER (ORDER BY p, score DESC, o_orderkey) AS rank, o_orderkey, label, score FROM r QUALIFY rank <= 1000",
-    "w04_first_of_class": _SCORED + "SELECT o_orderkey, label, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, o_orderkey) AS place FROM r QUALIFY place <= 20",
-    "u02_symmetric_difference": "SELECT c_custkey AS k, 'customer' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'orders' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)",
-    "j07_orphans": "SELECT l_orderkey, count(*) AS orphans FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0) GROUP BY l_orderkey",
+    "u02_symmetric_difference": "WITH c AS (SELECT DISTINCT source AS k FROM documents), o AS (SELECT 'src' || n_nationkey AS k FROM nation) SELECT k, 'documents' AS side FROM c WHERE k NOT IN (SELECT k FROM o) UNION ALL SELECT k, 'list' FROM o WHERE k NOT IN (SELECT k FROM c WHERE k IS NOT NULL)",
+    "j07_orphans": "SELECT doc_id, 'label' AS side FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'document' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "a19_gate_status": "SELECT source, CASE WHEN bool_or(lang IS NULL) THEN 'fail' WHEN bool_or(n_chars < 200) THEN 'warning' ELSE 'pass' END AS status FROM documents GROUP BY source",
 }

@@ -1,13 +1,35 @@
 from pyspark.sql import functions as F
 
-from sieveline.functions import scalars
+from sieveline.functions import scalars, text
 from sieveline.operators import groups
 
 
 def test_scalars(spark):
-    df = spark.createDataFrame([(" a\u00a0 b ", "2024-02-30"), ("", "2024-02-29"), (None, "2024")], "a string, d string")
+    df = spark.createDataFrame([(" a  b ", "2024-02-30"), ("", "2024-02-29"), (None, "2024"), ("x", "2024-02-29\n")], "a string, d string")
     got = df.select(scalars.normalize_scalar(F.col("a")).alias("n"), scalars.deadline(F.col("d")).cast("string").alias("d")).collect()
-    assert [tuple(r) for r in got] == [("a b", None), (None, "2024-02-29"), (None, None)]
+    assert [tuple(r) for r in got] == [("a b", None), (None, "2024-02-29"), (None, None), ("x", None)]
+
+
+def test_decoding(spark):
+    cases = {"a &amp; b": "a & b", r"\[x\]\, y": "[x], y", r"a\nb": "a\nb", r"a\\nb": r"a\nb", r"a\qb": r"a\qb", "é": "é", "plain": "plain", "": "", None: None}
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    assert [r[0] for r in df.select(text.decode(F.col("t"))).collect()] == list(cases.values())
+    lists = spark.createDataFrame([([" a&lt;b ", None, "", "c  d"],), (None,), ([],)], "t array<string>")
+    assert [r[0] for r in lists.select(scalars.normalize_list(F.col("t"))).collect()] == [["a<b", "c d"], [], []]
+
+
+def test_ids(spark):
+    cases = {" Abc ": "abc", "abc\n": "abc", "a b": None, "": None, None: None, "é": None, "x" * 65: None}
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    assert [r[0] for r in df.select(scalars.source_id(F.col("t"))).collect()] == list(cases.values())
+    cases = {" abc  d ": "abc d", "": None, " ": None, "a\tb": None, "x" * 257: None, "x" * 256: "x" * 256, None: None}
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    assert [r[0] for r in df.select(scalars.identifier(F.col("t"))).collect()] == list(cases.values())
+
+
+def test_visible_text(spark):
+    page = "<p>a&amp;b</p><script>x</style>y</script>.c1{color:red} color: red; ABCDEF; <b>c</b>"
+    assert spark.createDataFrame([(page,)], "h string").select(scalars.visible_text(F.col("h"))).first()[0] == "a&b c"
 
 
 def test_best_of_group_and_latest(spark):
