@@ -41,7 +41,7 @@ from sieveline.llm.common import bit_table, dense_array, materialize, release, t
 
 THRESHOLD_PERCENT = 80
 RARITY_BUCKETS = 1 << 20
-COMMON = 32
+COMMON = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RANK_SHIFT = 56  # a word is ordered by one number: rarity above, the low bits of its hash below
 PLACE = ["__doc", "__v1", "__v2", "__at"]
@@ -84,10 +84,24 @@ def prefix_length(n: Column, percent: int) -> Column:
     return (n - F.ceil(n * percent / F.lit(100)) + 1).cast("int")
 
 
-def parity_bits(words: Column) -> Column:
-    """64 bits: of each, whether an odd number of the words fall on it. Two sets differ in at least as many words as bits."""
-    one = F.lit(1).cast("bigint")
-    return F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))))
+#: Sizes above which a set's parity bits are 128 and 256, not 64.
+WIDER, WIDEST = 56, 160
+
+
+def parity_bits(words: Column, n: Column) -> list[Column]:
+    """Of each of 64 bits, whether an odd number of the words fall on it; two sets differ in at least as many words as bits. In larger sets two or four such numbers, one for each value of the next bits of a word; the exclusive or of all is what a smaller set has."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    bit = lambda w: F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))
+    every = F.aggregate(words, none, lambda acc, w: acc.bitwiseXOR(bit(w)))
+
+    def share(mask: int, value: int) -> Column:
+        return F.aggregate(F.filter(words, lambda w: w.bitwiseAND(F.lit(mask)) == F.lit(value)), none, lambda acc, w: acc.bitwiseXOR(bit(w)))
+
+    wide = [F.when(n > WIDEST, share(192, 64 * k)).when(n > WIDER, share(64, 64 * k) if k < 2 else none).otherwise(every if k == 0 else none) for k in range(4)]
+    return [c.alias(f"p{k}") for k, c in enumerate(wide)]
+
+
+BITS = ["p0", "p1", "p2", "p3"]
 
 
 def distinct_sets(lines: DataFrame, percent: int) -> DataFrame:
@@ -95,11 +109,11 @@ def distinct_sets(lines: DataFrame, percent: int) -> DataFrame:
     order = lambda w: F.shiftleft(F.get(F.col("__level"), F.pmod(w, F.lit(RARITY_BUCKETS)).cast("int")).cast("bigint"), RANK_SHIFT).bitwiseOR(w.bitwiseAND(F.lit((1 << RANK_SHIFT) - 1)))
     common = (1 + int(2 * (COMMON.bit_length() - 1))) << RANK_SHIFT
     held = lines.filter("n > 0").withColumn("__level", rarity(lines))
-    ranked = held.select(*PLACE, "k1", "k2", "n", parity_bits(F.col("words")).alias("bits"), F.slice(F.sort_array(F.transform("words", order)), F.lit(1), prefix_length(F.col("n"), percent)).alias("prefix"))
+    ranked = held.select(*PLACE, "k1", "k2", "n", *parity_bits(F.col("words"), F.col("n")), F.slice(F.sort_array(F.transform("words", order)), F.lit(1), prefix_length(F.col("n"), percent)).alias("prefix"))
     met = F.filter("prefix", lambda x: x >= F.lit(1 << RANK_SHIFT))
-    cut = ranked.select(F.struct(*PLACE).alias("place"), "k1", "k2", "n", "bits", F.size("prefix").alias("all"), met.alias("met"))
-    cut = cut.select("place", "k1", "k2", "n", "bits", (F.col("all") - F.size("met")).alias("skip"), F.size(F.filter("met", lambda x: x < F.lit(common))).alias("rare"), F.transform("met", lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int")).alias("head"))
-    one = cut.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("lines"), *[F.first(c).alias(c) for c in ("n", "bits", "skip", "rare", "head")])
+    cut = ranked.select(F.struct(*PLACE).alias("place"), "k1", "k2", "n", *BITS, F.size("prefix").alias("all"), met.alias("met"))
+    cut = cut.select("place", "k1", "k2", "n", *BITS, (F.col("all") - F.size("met")).alias("skip"), F.size(F.filter("met", lambda x: x < F.lit(common))).alias("rare"), F.transform("met", lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int")).alias("head"))
+    one = cut.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("lines"), *[F.first(c).alias(c) for c in ("n", *BITS, "skip", "rare", "head")])
     return one.orderBy("place").withColumn("sid", F.monotonically_increasing_id())
 
 
@@ -111,7 +125,13 @@ def close(a: str, b: str, percent: int) -> Column:
 
 
 def apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    """Bits in which two sets differ, at the resolution that both have."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    xor = [F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}")) for p in BITS]
+    count = lambda c: F.bit_count(c)
+    even, odd = xor[0].bitwiseXOR(xor[2]), xor[1].bitwiseXOR(xor[3])
+    four = count(xor[0]) + count(xor[1]) + count(xor[2]) + count(xor[3])
+    return F.when(F.least(n, m) > WIDEST, four).when(F.least(n, m) > WIDER, count(even) + count(odd)).otherwise(count(even.bitwiseXOR(odd)))
 
 
 def matches(a: Column, b: Column, percent: int) -> Column:
@@ -144,9 +164,9 @@ def nearest_first(pairs: DataFrame) -> DataFrame:
 
 def matched_sets(lines: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Sets (sid) that match one with an earlier first place."""
-    entry = lambda df, *more: df.select("sid", "n", "bits", "skip", "rare", *more, F.posexplode("head").alias("i", "w")).withColumn("pos", F.col("skip") + F.col("i"))
-    frequent = entry(sets).filter("i >= rare").select("w", "sid", "n", "bits", "pos")
-    first = frequent.groupBy("w").agg(F.min("sid").alias("sid"), F.min_by(F.struct("n", "bits", "pos"), "sid").alias("x")).select("w", "sid", "x.*")
+    entry = lambda df, *more: df.select("sid", "n", *BITS, "skip", "rare", *more, F.posexplode("head").alias("i", "w")).withColumn("pos", F.coalesce(F.col("skip") + F.col("i"), F.lit(0)))  # noqa: E731  never null: a null check would tell the two sides of a join apart
+    frequent = entry(sets).filter("i >= rare").select("w", "sid", "n", *BITS, "pos")
+    first = frequent.groupBy("w").agg(F.min("sid").alias("sid"), F.min_by(F.struct("n", *BITS, "pos"), "sid").alias("x")).select("w", "sid", "x.*")
     near = frequent.alias("b").join(first.alias("a"), "w").filter((F.col("a.sid") < F.col("b.sid")) & close("a", "b", percent))
     near = materialize(near.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), apart("a", "b").alias("apart")).distinct(), "line-near")
     words = words_by_set(lines, sets, near)
@@ -154,9 +174,14 @@ def matched_sets(lines: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     release(near, words)
 
     marked = sets.join(decided, "sid", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    every = entry(marked, "done").select("w", "sid", "n", "bits", "pos", "done")
-    met = every.alias("a").join(every.alias("b"), "w").filter((F.col("a.sid") < F.col("b.sid")) & ~F.col("b.done") & close("a", "b", percent))
-    pairs = materialize(met.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), apart("a", "b").alias("apart")).distinct(), "line-pairs")
+    every = entry(marked, "done").select("w", "sid", "n", *BITS, "pos", "done")
+    # of a pair the smaller set (a) is met in the shorter prefix that suffices for it; both sides come from one shuffle, so what concerns one side alone is written as a condition on both
+    a, b = every.alias("a"), every.alias("b")
+    smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.sid") < F.col("b.sid")))
+    shorter = F.col("a.pos") < F.col("a.n") - F.ceil(2 * percent * F.col("a.n") / F.lit(100 + percent)) + F.when(F.col("b.pos") >= 0, 1)
+    later_open = F.when(F.col("a.sid") < F.col("b.sid"), ~F.col("b.done")).otherwise(~F.col("a.done"))
+    met = a.join(b, F.col("a.w") == F.col("b.w")).filter(smaller & shorter & later_open & close("a", "b", percent))
+    pairs = materialize(met.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"), apart("a", "b").alias("apart")).distinct(), "line-pairs")
     words = words_by_set(lines, sets, pairs)
     likely = materialize(verified(nearest_first(pairs), words, percent), "line-likely")
     rest = pairs.join(likely, F.col("b") == F.col("sid"), "left_anti")
