@@ -1 +1 @@
-"""Sources of the posting engine."""
+"""Readers that turn landed files and pages into candidates, and the registry that picks one for a source."""
