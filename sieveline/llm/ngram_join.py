@@ -166,10 +166,13 @@ def classes_of(df: DataFrame, id_col: str, text: str, n: int, percent: int) -> t
             pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([prefix(s, rarity, percent) for s in sets], pa.list_(pa.int64())),
         ]
 
-    rows = materialize(map_texts(base, "text", ["id", "v1", "v2"], kind, keys, PIECE_MB), "ngram-rows")
+    signed = materialize(map_texts(base, "text", ["id", "v1", "v2"], kind, keys, PIECE_MB), "ngram-signed")
     # equal sets have equal sizes, bits and heads
-    one = rows.filter("n_shingles > 0").groupBy("class_key").agg(F.min("id").alias("id"), F.min(F.struct("v1", "v2")).alias("v"), F.min("n_shingles").cast("int").alias("size"), F.first("bits").alias("bits"), F.first("head").alias("head"))
-    return rows, materialize(one.orderBy(F.asc_nulls_last("id"), "class_key").withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
+    one = signed.filter("n_shingles > 0").groupBy("class_key").agg(F.min("id").alias("id"), F.min(F.struct("v1", "v2")).alias("v"), F.min("n_shingles").cast("int").alias("size"), F.first("bits").alias("bits"), F.first("head").alias("head"))
+    classes = materialize(one.orderBy(F.asc_nulls_last("id"), "class_key").withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
+    rows = materialize(signed.select("id", "v1", "v2", "n_shingles", "class_key"), "ngram-rows")
+    release(signed)  # signatures are kept by class
+    return rows, classes
 
 
 def memberships(df: DataFrame, id_col: str, text: str, n: int, percent: int, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
