@@ -92,18 +92,18 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces_of(batch: pa.RecordBatch, piece_mb: int) -> Iterable[pa.RecordBatch]:
+def pieces_of(batch: pa.RecordBatch, piece_mb: float) -> Iterable[pa.RecordBatch]:
     """Runs of rows whose last column has about ``piece_mb`` MB, or a single longer text."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         before = int(sizes[at - 1]) if at else 0
-        upto = max(at + 1, int(np.searchsorted(sizes, before + (piece_mb << 20), "right")))
+        upto = max(at + 1, int(np.searchsorted(sizes, before + int(piece_mb * (1 << 20)), "right")))
         yield batch.slice(at, upto - at)
         at = upto
 
 
-def map_texts(df: DataFrame, text: str, keep: Sequence[str], added: T.StructType, fn: Callable[[list[bytes]], Iterable[pa.Array]], piece_mb: int = 8) -> DataFrame:
+def map_texts(df: DataFrame, text: str, keep: Sequence[str], added: T.StructType, fn: Callable[[list[bytes]], Iterable[pa.Array]], piece_mb: float = 8) -> DataFrame:
     """Apply ``fn`` to the texts of each Arrow batch, in pieces of about ``piece_mb`` MB; rows stay in place.
 
     ``keep`` columns pass through; a kept column whose name is one of ``added`` is replaced.

@@ -42,7 +42,7 @@ from sieveline.llm.common import map_texts, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
-BATCH_MB = 4
+BATCH_MB = 0.5
 KNOWN_PAIRS = 1 << 20
 UNREACHED, START, BYTES = -2, -3, -1
 FOUR = np.array([48, 32, 16, 0], np.uint64)

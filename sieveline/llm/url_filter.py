@@ -90,7 +90,8 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", keep: list[str]
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
-    listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rows = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in RULES)
+    listed = spark.sql(f"SELECT * FROM VALUES {rows} AS r(host, path, verdict)")  # a relation of literals, no Python rows
     return judge(table(spark, sf_dir, "pages"), listed, keep=["page_id"])
 
 

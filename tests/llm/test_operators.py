@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,7 +108,9 @@ def test_class_links_against_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), DOCS)
     got = [tuple(r) for r in ngram_join.class_links(df, n=4, percent=85).collect()]
     assert len(got) == len(every) and set(got) == every
-    connecting = {tuple(r) for r in ngram_join.memberships(df, "doc_id", "text", 4, 85)[1].collect()}
+    _, classes, links = ngram_join.memberships(df, "doc_id", "text", 4, 85)
+    name = {r.node: r.id for r in classes.collect()}
+    connecting = {(name[r.a], name[r.b]) for r in links.collect()}
     assert connecting < every
 
 
@@ -147,9 +150,10 @@ def test_decontaminate_at_the_ends_of_texts(spark):
 def test_piece_codec_equals_library():
     import sentencepiece
 
-    texts = ["", "  a  b ", "\n\n x\ty", "日本語 🎉", "a" * 500, "   ", "The quick brown fox, http://x.org/?y=1", "</s> <0x0A>"]
+    texts = ["", "  a  b ", "\n\n x\ty", "日本語 🎉", "a" * 500, "   ", "The quick brown fox, http://x.org/?y=1", "</s> <0x0A>", "a\0b", "é" * 40 + "x" * 3000]
     vocab = piece_codec.read_vocabulary(piece_codec.MODEL)
-    ids = piece_codec.encode_texts(texts, vocab)
+    flat, sizes = piece_codec.encode_texts(texts, vocab)
+    ids = [part.tolist() for part in np.split(flat, np.cumsum(sizes)[:-1])]
     assert ids == sentencepiece.SentencePieceProcessor(model_file=piece_codec.MODEL).encode(texts)
     assert [piece_codec.decode_ids(i, vocab) for i in ids] == texts
 
