@@ -18,7 +18,8 @@ from sieveline.shared import checkpointed
 #: Tables of a run, order of exports, form of a stored time, verdicts and movements.
 RUN_TABLES = ("runs", "source_attempts", "recommendations", "quality_gates", "source_outcomes")
 CANONICAL_TIME = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{6})?\+00:00\z"
-VERDICTS, MOVEMENTS = ("include", "hold", "exclude"), ("up", "same", "down")
+VERDICTS = ("applied", "ignored", "hidden", "false_positive", "false_negative", "interesting", "not_relevant")
+MOVEMENTS = ("up", "same", "down")
 OUTCOMES = ("success", "failed", "timeout", "skipped", "cancelled")
 
 

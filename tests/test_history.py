@@ -45,17 +45,17 @@ def test_runs(spark, store):
 
 def test_feedback(spark, store):
     store.finalize("r1")
-    one = ("rec1", "include", "good", "up", "2026-07-01T00:00:00+00:00")
+    one = ("rec1", "applied", "good", "up", "2026-07-01T00:00:00+00:00")
     assert store.add_feedback(events(spark, one, one)).count() == 1
-    assert store.add_feedback(events(spark, one, ("rec1", "exclude", "", "down", "2026-07-02T00:00:00+00:00"))).count() == 1
-    for bad in (("rec9", *one[1:]), ("rec1", "maybe", "", "up", one[4]), ("rec1", "hold", "", "left", one[4]), ("rec1", "hold", "", "up", "2026-02-30T00:00:00+00:00"), ("rec1", "hold", "", "up", "2026-07-01")):
+    assert store.add_feedback(events(spark, one, ("rec1", "hidden", "", "down", "2026-07-02T00:00:00+00:00"))).count() == 1
+    for bad in (("rec9", *one[1:]), ("rec1", "maybe", "", "up", one[4]), ("rec1", "ignored", "", "left", one[4]), ("rec1", "ignored", "", "up", "2026-02-30T00:00:00+00:00"), ("rec1", "ignored", "", "up", "2026-07-01")):
         with pytest.raises(ValueError):
             store.add_feedback(events(spark, bad))
     stored = store.feedback().collect()
     assert [r.movement for r in stored] == ["up", "down"]
     body = json.dumps(dict(zip(("recommendation_id", "verdict", "reason", "movement", "created_at"), one, strict=True)), separators=(",", ":"))
     assert stored[0].event_id == hashlib.sha256(body.encode()).hexdigest()[:32]
-    assert [tuple(r) for r in history.latest_feedback(store.feedback()).collect()] == [("k1", "down", "exclude")]
+    assert [tuple(r) for r in history.latest_feedback(store.feedback()).collect()] == [("k1", "down", "hidden")]
 
 
 def test_cache(spark, tmp_path):
@@ -105,7 +105,7 @@ def test_relevance(spark):
 
 def test_stream(spark, store, tmp_path):
     store.finalize("r1")
-    rows = [("e1", "k1", "rec1", "include", "", "up", "2026-07-01T00:00:00+00:00"), ("e2", "k1", "rec1", "exclude", "", "down", "2026-07-02T00:00:00+00:00"), ("e1", "k1", "rec1", "include", "", "up", "2026-07-01T00:00:00+00:00")]
+    rows = [("e1", "k1", "rec1", "applied", "", "up", "2026-07-01T00:00:00+00:00"), ("e2", "k1", "rec1", "hidden", "", "down", "2026-07-02T00:00:00+00:00"), ("e1", "k1", "rec1", "applied", "", "up", "2026-07-01T00:00:00+00:00")]
     spark.createDataFrame(rows, stream.EVENT).write.json(str(tmp_path / "in"))
     source = spark.readStream.schema(stream.EVENT).json(str(tmp_path / "in"))
     stream.into_history(source, store, str(tmp_path / "cp1")).awaitTermination()
