@@ -22,6 +22,8 @@ cloudpickle.register_pickle_by_value(sieveline)
 
 #: Kept between calls only to remove what was written; see materialize().
 _written: list[tuple[SparkSession, str, DataFrame]] = []
+#: Rows of texts that travel to a Python worker at once.
+BATCH_ROWS = 1000
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -92,6 +94,13 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_ROWS`` rows: what Spark and its workers keep of texts is a batch on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def pieces_of(batch: pa.RecordBatch, piece_mb: float) -> Iterable[pa.RecordBatch]:
     """Runs of rows whose last column has about ``piece_mb`` MB, or a single longer text."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
@@ -110,6 +119,7 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], added: T.StructType
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(df.sparkSession)
     names = {f.name for f in added}
     keep = [c for c in keep if c not in names]
     chosen = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sieveline.llm.common import bit_table, components, map_texts, materialize, pieces_of, release, table, texts_of
+from sieveline.llm.common import bit_table, components, map_texts, materialize, pieces_of, release, small_batches, table, texts_of
 
 RARITY_BUCKETS = 1 << 18
 BITMAP_BITS = 512
@@ -145,6 +145,7 @@ def rarity_table(df: DataFrame, text: str, n: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["b", "n"])
 
+    small_batches(df.sparkSession)
     rows = df.select(F.col(f"`{text}`").cast("string")).mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(RARITY_BUCKETS)
     total[rows["b"].to_numpy()] = rows["n"].to_numpy()

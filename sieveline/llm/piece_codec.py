@@ -43,7 +43,7 @@ from sieveline.llm.common import map_texts, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
 BATCH_MB = 0.5
-KNOWN_PAIRS = 1 << 20
+KNOWN_PAIRS = 1 << 18
 UNREACHED, START, BYTES = -2, -3, -1
 FOUR = np.array([48, 32, 16, 0], np.uint64)
 
@@ -68,9 +68,22 @@ class Vocabulary:
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_size = np.array([len(r) for r in raw], np.int64)
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
-        self.known_pair = np.full(KNOWN_PAIRS, -1, np.int64)  # a table of fixed size; a newer pair replaces an older one
+        self._forget()
+
+    def _forget(self) -> None:
+        """Pairs judged lately, a table of fixed size; a newer pair replaces an older one."""
+        self.known_pair = np.full(KNOWN_PAIRS, -1, np.int64)
         self.known_apart = np.zeros(KNOWN_PAIRS, bool)
 
+    def __getstate__(self) -> dict:
+        """What executors need: tables. Names and ranks go along only where pieces must be merged to see."""
+        left_out = {"known_pair", "known_apart", "ids", "whole", "bytes_", "of_byte"} | ({"pieces", "rank"} if self.regular[self.whole_ids].all() else set())
+        return {k: v for k, v in self.__dict__.items() if k not in left_out}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
+
     def merges(self, text: str) -> tuple[list[str], list[tuple[float, int, str, str]]]:
         """The pieces of a short text by merging the best pair, leftmost first, and the merges made: score, place, left, right."""
         parts, made = list(text), []
@@ -87,8 +100,10 @@ class Vocabulary:
         symbols = {p: k for k, p in enumerate(dict.fromkeys([*self.ids, *(c for p in self.ids for c in p)]))}
         n, wide = len(self.pieces), self.longest + 1
         self.side = [np.zeros((n, wide), np.int32) for _ in range(2)]
-        self.until = [np.full((n, wide), -np.inf) for _ in range(2)]
+        self.until = [np.full((n, wide), -np.inf, np.float32) for _ in range(2)]
         self.regular = np.zeros(n, bool)
+        if len({np.float32(r) for r in self.rank.values()}) < len(set(self.rank.values())):
+            raise ValueError("scores that four bytes cannot tell apart")
         for p, i in self.whole.items():
             made = steps[p][1]
             self.regular[i] = all(x[0] >= y[0] for x, y in zip(made, made[1:], strict=False))
@@ -104,7 +119,7 @@ class Vocabulary:
         splits = sorted((symbols[p[:k]] * len(symbols) + symbols[p[k:]], self.rank[p]) for p in self.ids for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols)
         self.n_symbols = len(symbols)
         self.split_key = np.array([x[0] for x in splits], np.int64)
-        self.split_score = np.array([x[1] for x in splits])
+        self.split_score = np.array([x[1] for x in splits], np.float32)
 
     def _search_keys(self) -> None:
         """Pieces as symbols of two bytes, four to a number, filled up below and above."""
@@ -128,13 +143,13 @@ class Vocabulary:
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pieces a and b stay as they are when their text is merged; pairs seen lately are looked up."""
-        pair = a.astype(np.int64) * len(self.pieces) + b
+        pair = a.astype(np.int64) * len(self.regular) + b
         slot = ((pair * 0x9E3779B1) >> 7) & (KNOWN_PAIRS - 1)
         new = np.flatnonzero(self.known_pair[slot] != pair)
         out = self.known_apart[slot]
         if len(new):
             fresh, back = np.unique(pair[new], return_inverse=True)
-            judged = self.judge(fresh // len(self.pieces), fresh % len(self.pieces))
+            judged = self.judge(fresh // len(self.regular), fresh % len(self.regular))
             out[new] = judged[back]
             self.known_pair[slot[new]] = pair[new]
             self.known_apart[slot[new]] = out[new]
@@ -155,7 +170,7 @@ class Vocabulary:
             left_until, right_until = self.until[1][x, i[live]], self.until[0][y, j[live]]
             key = self.side[1][x, i[live]].astype(np.int64) * self.n_symbols + self.side[0][y, j[live]]
             at = np.minimum(np.searchsorted(self.split_key, key), len(self.split_key) - 1)
-            score = np.where(self.split_key[at] == key, self.split_score[at], -np.inf)
+            score = np.where(self.split_key[at] == key, self.split_score[at], np.float32(-np.inf))
             # of equal scores the leftmost merge comes first
             joined = (score > left_until) & (score >= right_until) & (score > -np.inf)
             out[live[joined]] = False
