@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.operators import groups
+from sieveline.operators import groups, issues
 from sieveline.shared import checkpointed
 
 #: Tables of a run, order of exports, form of a stored time, verdicts and movements.
@@ -20,7 +20,6 @@ RUN_TABLES = ("runs", "source_attempts", "recommendations", "quality_gates", "so
 CANONICAL_TIME = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{6})?\+00:00\z"
 VERDICTS = ("applied", "ignored", "hidden", "false_positive", "false_negative", "interesting", "not_relevant")
 MOVEMENTS = ("up", "same", "down")
-OUTCOMES = ("success", "failed", "timeout", "skipped", "cancelled")
 
 
 class History:
@@ -160,10 +159,9 @@ def one_sided(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def invalid_outcomes(df: DataFrame) -> DataFrame:
-    """Outcome rows that contradict themselves: an unknown status, a success with an error or not completed, a failure without one, a negative duration."""
-    ok = F.col("status") == "success"
-    wrong = ~F.col("status").isin(*OUTCOMES) | (ok & (F.col("error_code").isNotNull() | ~F.col("completed"))) | ((F.col("status").isin("failed", "timeout")) & F.col("error_code").isNull()) | (F.col("duration_ms") < 0) | (~F.col("attempted") & F.col("completed"))
-    return df.filter(F.coalesce(wrong, F.lit(True)))
+    """Outcome rows that contradict themselves or have a negative duration."""
+    good = issues.consistent(F.col("status"), F.col("error_code"), F.col("attempted"), F.col("completed")) & (F.col("duration_ms") >= 0) & (F.col("source_id") != "")
+    return df.filter(~F.coalesce(good, F.lit(False)))
 
 
 def run_count_mismatches(runs: DataFrame, recommendations: DataFrame) -> DataFrame:

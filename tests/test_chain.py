@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.operators import candidates as c
-from sieveline.operators import projection, scoring
+from sieveline.operators import issues, projection, scoring
 from sieveline.operators.profile import Profile, Settings, Weights
 
 T = dt.datetime(2026, 7, 1, tzinfo=dt.timezone.utc)
@@ -114,6 +114,9 @@ def test_report(judged):
     assert projection.order_collisions(queue).isEmpty()
     totals = projection.summary(judged, collected=14, rejected=3).first().asDict()
     assert (totals["duplicates_removed"], totals["apply_total"], totals["actionable_total"]) == (1, 2, 4)
+    metrics = c.source_metrics(judged.select("source_id").distinct(), judged.withColumns({"reject_code": F.lit(None).cast("string"), "changed": F.lit(0), "emptied": F.lit(0)}), judged)
+    good = projection.summary(judged.withColumn("group_size", F.lit(1).cast("long")))
+    assert issues.inconsistent_totals(good, metrics.withColumn("duplicates", F.lit(0))).isEmpty() and not issues.inconsistent_totals(good, metrics).isEmpty()
     body, digest = projection.render_report(queue, totals, RUN, [("idle", "source_timeout")])
     assert body.startswith("# 채용 추천 리포트 — 2026-07-10\n") and "| 1 | 지원 추천 | Data Engineer | ACME |" in body and body.endswith("- 소스 `idle`: source_timeout\n") and len(digest) == 64
 

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.operators import candidates, gate, history, relevance
+from sieveline.operators import candidates, gate, history, issues, probe, relevance
 from sieveline.operators.profile import Profile, Settings
 from sieveline.streaming import feedback as stream
 
@@ -68,9 +68,47 @@ def test_cache(spark, tmp_path):
 
 
 def test_outcomes(spark):
-    rows = [("a", True, True, "success", None, 1), ("b", True, True, "success", "x", 1), ("c", True, False, "failed", None, 1), ("d", True, False, "odd", "x", 1), ("e", True, False, "timeout", "t", -1), ("f", True, False, "failed", "x", 2)]
+    e = "collection_error"
+    rows = [("a", True, True, "success", None, 1), ("b", True, True, "success", e, 1), ("c", True, False, e, None, 1), ("d", True, False, "odd", "x", 1), ("e", True, False, e, e, -1), ("f", True, False, e, e, 2), ("g", False, False, "success", None, 1), ("", True, True, "success", None, 1)]
     df = spark.createDataFrame(rows, "source_id string, attempted boolean, completed boolean, status string, error_code string, duration_ms long")
-    assert sorted(r.source_id for r in history.invalid_outcomes(df).collect()) == ["b", "c", "d", "e"]
+    assert sorted(r.source_id for r in history.invalid_outcomes(df).collect()) == ["", "b", "c", "d", "e", "g"]
+    closed = {r.source_id: (r.status, r.error_code, r.elapsed_ms) for r in issues.closed_outcomes(df.withColumnRenamed("duration_ms", "elapsed_ms")).collect()}
+    assert closed["b"] == ("success", None, 1) and closed["c"] == (e, e, 1) and closed["d"] == (e, e, 1) and closed["e"] == (e, e, 0) and "unknown-source" in closed
+
+
+def test_issues(spark):
+    raw = ([], [], None, [], ["x"], [])
+    rows = [("s", f"https://x.com/{i}", p, "T", "C", "L", None, dt.datetime(2026, 1, 1), raw) for i, p in enumerate(["ID-1", None, "ID-3"])]
+    accepted = candidates.snapshots(candidates.normalized(spark.createDataFrame(rows, candidates.CANDIDATE)))
+    told = spark.createDataFrame([("S", "detail_unverified", "id-1", None), ("s", "detail_fetch_failed", None, "https://x.com/1?q"), ("s", "detail_url_invalid", "none", None), ("s", "odd", "id-3", None), ("?", "detail_unverified", "id-3", None)], "source_id string, code string, source_posting_id string, source_url string")
+    keys, errors = issues.match_issues(told, accepted)
+    kept = issues.lowered(candidates.survivors(accepted), keys)
+    assert {r.source_url[-1]: r.detail_quality for r in kept.collect()} == {"0": "manual_only", "1": "manual_only", "2": "verified"}
+    assert {tuple(r) for r in errors.collect()} == {("s", "detail_url_invalid"), ("unknown-source", "detail_unverified")}
+
+
+def test_metrics_with_outcomes(spark):
+    metrics = spark.createDataFrame([("a", 2, []), ("b", 0, []), ("c", 1, ["detail_unverified"]), ("d", 1, [])], "source_id string, accepted long, error_codes array<string>")
+    outcomes = spark.createDataFrame([("a", True, True, "success", None, 5), ("b", True, True, "success", None, 1), ("c", True, False, "source_timeout", None, 1), ("z", True, True, "success", None, 1)], "source_id string, attempted boolean, completed boolean, status string, error_code string, elapsed_ms long")
+    both, odd = issues.with_outcomes(metrics, outcomes)
+    assert {tuple(r) for r in odd.collect()} == {("d", "metrics"), ("z", "outcomes")}
+    assert {r.source_id: r.error_codes for r in both.collect()} == {"a": [], "b": [], "c": ["detail_unverified", "source_timeout"]}
+    assert {(r.source, r.code) for r in issues.notices(both).collect()} == {("b", issues.NO_CANDIDATES), ("c", "source_timeout")}
+
+
+def test_probe(spark):
+    cols = "id string, title string, company string, responsibilities string, required string, preferred string"
+    outer = spark.createDataFrame([("1", "Dev  A", "ACME", "build x", "sql", "go"), ("2", "Dev", "사람인", "a", "b", "c"), ("3", "T", "C", "a", "b", "c")], cols)
+    detail = spark.createDataFrame([("1", "dev a", "acme", "we build", "SQL!", "go"), ("2", "Dev", "사람인", "z", "b", "c")], cols)
+    r = probe.decide(probe.compare_pages(outer, detail), 3).first()
+    assert (r.pairs_requested, r.pairs_outer_sufficient, r.detail_fetch_failed, r.company_missing_or_placeholder_or_mismatch, r.responsibilities_mismatch, r.title_mismatch, r.decision) == (3, 1, 1, 1, 1, 0, "detail_only")
+    assert probe.decide(probe.compare_pages(outer.limit(1), detail.limit(1)), 1).first().decision == "outer_only"
+    df = spark.createDataFrame([("a Private_x SESSION=1 " + "y" * 600, "ok_code"), ("b", "raw_code")], "t string, c string")
+    rows = df.select(probe.redacted(F.col("t")).alias("t"), probe.safe_code(F.col("c")).alias("c")).collect()
+    assert rows[0].t.startswith("a [REDACTED]x [REDACTED]1 y") and len(rows[0].t) == 500 and [r.c for r in rows] == ["ok_code", None]
+    assert probe.holds_mark(df.withColumn("n", F.array(F.struct("t"))), ("private_X", "")).count() == 1
+    cands = spark.createDataFrame([("s", "ftp://x", None, "T", "C", "", None, None, ([], [], None, [], ["x"], []))], candidates.CANDIDATE)
+    assert tuple(probe.filterability(cands).first()) == (True, True, False, False, False, False)
 
 
 def test_gate(spark):
