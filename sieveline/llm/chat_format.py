@@ -14,7 +14,8 @@ repeated rows stay. Null roles, texts and part lists are empty; unknown part
 types are documents. A null conversation id is a conversation of its own.
 Columns other than those named do not take part. An empty table gives an empty
 one. Only DataFrame functions are used; turns are gathered with map-side
-partial lists, so a very long conversation crosses the shuffle as few rows.
+partial lists, so a very long conversation crosses the shuffle as few rows. A
+conversation is one text, so its turns do come together in one row.
 """
 
 from __future__ import annotations

@@ -9,13 +9,17 @@ go to the longer host, then the greater entry.
 
 Rows: every page gives one row, repeated rows too. A null URL or one without
 ``://`` has empty host and path and no entry. What no entry fits is not listed
-and gets the default verdict. Other columns of the input do not take part.
+and gets the default verdict. Other columns of the input pass through; ``host``,
+``path``, ``rule`` and ``verdict`` replace columns of these names.
 An empty list gives every page the default; an empty table gives an empty one.
 
 Scale: the filter has one block per ``KEYS_PER_BLOCK`` entries, at most
 ``MAX_BLOCKS`` (a larger list only raises the share passed to the exact join).
-The list is broadcast up to ``BROADCAST_ENTRIES``, beyond it joined by a salted
-shuffle, since one entry may fit a third of all rows.
+The list is broadcast up to ``BROADCAST_ENTRIES``, and pages with at most
+``QUICK`` possible hits, which is nearly all, are joined in place, one hit after
+another, without a shuffle; pages with more take a row a hit and meet again.
+Beyond that size the list is joined by a salted shuffle, since one entry may fit
+a third of all rows.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import table
 
 BITS, KEYS_PER_BLOCK, MIN_BLOCKS, MAX_BLOCKS = 4, 4, 64, 1 << 17
-BROADCAST_ENTRIES, SALTS = 100_000, 32
+BROADCAST_ENTRIES, SALTS, QUICK = 100_000, 32, 3
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,15 +81,27 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", keep: list[str]
     words = bloom(entries, "rule", blocks)
     passed = F.filter(possible, lambda k: F.get(F.col("__bloom"), block_of(k, blocks)).bitwiseAND(mask_of(k)) == mask_of(k))
     rows = seen.withColumn("__row", F.monotonically_increasing_id()).withColumn("__bloom", words)
-    hits = rows.withColumn("__key", F.explode_outer(passed)).drop("__bloom")
     right = entries.select(F.col("rule").alias("__key"), F.struct(F.length("rule").alias("n"), F.length("host").alias("h"), F.col("rule").alias("rule"), F.col("verdict").alias("verdict")).alias("__hit"))
+    right = right.groupBy("__key").agg(F.max("__hit").alias("__hit"))
+    names = [*[f"`{c}`" for c in keep], "host", "path"]
+    told = lambda df: df.select(*names, F.col("__hit.rule").alias("rule"), F.coalesce("__hit.verdict", F.lit(default)).alias("verdict"))
+    passing = rows.withColumn("__keys", passed).drop("__bloom")
+    many = passing
+    if size <= BROADCAST_ENTRIES:
+        quick = passing.filter(F.size("__keys") <= QUICK)
+        for k in range(QUICK):
+            one = right.select(F.col("__key").alias(f"__key{k}"), F.col("__hit").alias(f"__hit{k}"))
+            quick = quick.join(F.broadcast(one), F.get("__keys", F.lit(k)) == F.col(f"__key{k}"), "left")
+        quick = told(quick.withColumn("__hit", F.greatest(*[F.col(f"__hit{k}") for k in range(QUICK)])))
+        many = passing.filter(F.size("__keys") > QUICK)
+    hits = many.select("__row", *names, F.explode_outer("__keys").alias("__key"))
     if size <= BROADCAST_ENTRIES:
         joined = hits.join(F.broadcast(right), "__key", "left")
     else:
         salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = hits.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int")).join(salted, ["__key", "__salt"], "left")
-    best = joined.groupBy("__row", *[f"`{c}`" for c in keep], "host", "path").agg(F.max("__hit").alias("__hit"))
-    return best.select(*[f"`{c}`" for c in keep], "host", "path", F.col("__hit.rule").alias("rule"), F.coalesce("__hit.verdict", F.lit(default)).alias("verdict"))
+    slow = told(joined.groupBy("__row", *names).agg(F.max("__hit").alias("__hit")))
+    return quick.unionAll(slow) if size <= BROADCAST_ENTRIES else slow
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
