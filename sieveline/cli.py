@@ -47,6 +47,9 @@ def report(found: dict[str, DataFrame], run_date: dt.date) -> tuple[str, str, di
     counts = found["done"].agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reject_code").isNotNull()).alias("bad")).first()
     totals = projection.summary(found["judged"], counts["n"], counts["bad"]).first().asDict()
     body, digest = projection.render_report(found["queue"], totals, run_date)
+    problems = projection.report_problems(body)
+    if problems:
+        raise configuration.ConfigError("the report is not as it must be: " + "; ".join(problems))
     return body, digest, totals
 
 

@@ -134,3 +134,12 @@ def test_links(spark):
     got = [(r.w, r.l) for r in df.select("w", links.verified_link(F.lit("replay"), F.col("s"), F.col("u"), F.col("i"), F.lit("verified")).alias("l")).collect()]
     assert [g for _, g in got] == [w for w, _ in got]
     assert df.select(links.verified_link(F.lit("other"), F.col("s"), F.col("u"), F.col("i"), F.lit("verified")).alias("l")).filter("l IS NOT NULL").isEmpty()
+
+
+def test_report_problems(judged):
+    queue = projection.report_queue(judged, "dry-run")
+    totals = projection.summary(judged, collected=14, rejected=3).first().asDict()
+    body, _ = projection.render_report(queue, totals, RUN, [("idle", "source_timeout")])
+    assert projection.report_problems(body) == []
+    for wrong in (body.replace("| 2 |", "| 7 |"), body.replace("## 지원/검토", "## x"), body.replace("Seoul", "my private notes"), body[:-1], body.replace("- 소스 `idle`", "- idle"), body.replace("지원 추천", "buy")):
+        assert projection.report_problems(wrong)
