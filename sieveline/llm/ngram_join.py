@@ -286,6 +286,7 @@ def first_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: i
     marked = keys.join(kept, F.col("id").eqNullSafe(F.col("kid")) & (F.col("v1") == F.col("k1")) & (F.col("v2") == F.col("k2")), "left")
     changed = marked.filter("k1 IS NULL OR times > 1").select(F.col("id").alias("__id"), F.col("v1").alias("__v1"), F.col("v2").alias("__v2"), F.col("k1").isNull().alias("__gone"))
     changed = materialize(changed, "ngram-changed")
+    release(rows, classes)
     # rows that stay as they are need no shuffle
     v1, v2 = F.xxhash64(F.col(f"`{text}`").cast("string")), F.xxhash64(F.lit(1), F.col(f"`{text}`").cast("string"))
     known, test = bit_table(changed.select("__v1"), 1 << 16)
