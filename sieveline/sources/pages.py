@@ -50,8 +50,8 @@ def linked_data(html: Column) -> Column:
     return F.filter(F.flatten(F.transform(scripts, items)), lambda x: F.ltrim(x).startswith("{"))
 
 
-def page_title(html: Column) -> Column:
-    return text.collapse(text.unescape(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
+def page_title(html: Column, closed: bool = False) -> Column:
+    return text.collapse(text.unescape(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), closed))
 
 
 def meta(html: Column, *names: str) -> Column:

@@ -62,6 +62,22 @@ def test_pages(spark):
     assert xml.select(pages.sitemap_urls(F.col("x"), include=["/b"])).first()[0] == ["https://x.com/b"]
 
 
+def test_titles_with_cut_references(spark, tmp_path):
+    """The query decodes what its SQL does: references that a semicolon ends."""
+    import duckdb
+
+    import __spark_entry__ as e
+
+    rows = [(1, "<title>a &amp; b&amp</title>"), (2, "<title>&quot &quot;&lt;x&#39;</title>"), (3, "<title>&amp;amp;</title>"), (4, None), (5, "none"), (6, "<title></title>")]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    df.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in e.queries()["s11_page_fields"](spark, str(tmp_path)).collect())
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+        assert got == sorted(con.execute(e.oracle_sql()["s11_page_fields"]).fetchall())
+    assert got[0] == (1, "a & b&amp", "") and df.filter("page_id = 1").select(pages.page_title(F.col("html"))).first()[0] == "a & b&"
+
+
 def capture(source="saramin", **more):
     post = {"source_id": "", "source_url": "https://www.saramin.co.kr/job/77/", "title": "T", "company": "C", "location": "서울 마감일 3/4", "deadline": "~ 8/9", "skills": ["Go"], "requirements": "Python\n경력 3년\n주요업무\nbuild", "captured_at": "2026-07-01T01:02:03Z"}
     return {"source_id": source, "captured_at": "2026-07-01T00:00:00", "postings": [post | more]}
