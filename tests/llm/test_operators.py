@@ -1,13 +1,15 @@
 """Small cases for each operator against brute force or exact round trips."""
 
+import gc
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm import ann, chat_format, decontaminate, language_id, line_dedup, ngram_join, piece_codec, quality, secret_scan, url_filter
+from sieveline.llm import ann, chat_format, common, decontaminate, language_id, line_dedup, ngram_join, piece_codec, quality, secret_scan, url_filter
 
 DOCS = "doc_id long, text string"
 
@@ -173,3 +175,18 @@ def test_secret_spans(spark):
     text = "é password = 'abcdef1' AKIA" + "A" * 20 + " " + "0" * 24 + " token=abc"
     r = secret_scan.scan_secrets(spark.createDataFrame([(1, text), (2, None)], DOCS)).orderBy("doc_id").collect()
     assert [(s.kind, text[s.start : s.end]) for s in r[0].secret_spans] == [("assign", "password = 'abcdef1"), ("access", "AKIA" + "A" * 20), ("hex", "0" * 24)] and r[1].secret_spans == []
+
+
+def test_driver_garbage_goes_with_each_write(spark):
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    used = lambda: (runtime.totalMemory() - runtime.freeMemory()) >> 20
+    common.release(common.materialize(spark.range(9), "test"))
+    dropped = jvm.java.nio.ByteBuffer.allocate(200 << 20)
+    before = used()
+    del dropped
+    gc.collect()
+    time.sleep(3)  # the gateway lets go of it a little later
+    found = common.materialize(spark.range(9), "test")
+    assert used() < before - 150 and found.count() == 9
+    common.release(found)
