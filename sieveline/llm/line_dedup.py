@@ -14,13 +14,15 @@ exact, and words that share a bucket only lengthen candidate lists. A word
 alone in its bucket is in one line only and meets nothing. Words are compared
 by 64-bit hashes, sets by 128-bit keys of these.
 
-Data moved: the words of all lines are written once, without a shuffle; what is
-shuffled of a line are its keys and its prefix, 32 bits a word. Whole arrays
-are read again only for sets of candidate pairs. Sets are numbered in the order
-of their first places, so a pair's order is that of its numbers.
-
-Skew: equal sets meet first and leave one set with its first place, by partial
-aggregation. Then sets with a common word (``COMMON`` lines or more may hold
+Data moved: texts are sorted by document once, so that lines are numbered in the
+order of their places and one number stands for a place and for the set that is
+first seen there. The words of all lines are written once; what is shuffled of
+a line are its keys and its prefix, 32 bits a word. Whole arrays are read again
+only for sets of candidate pairs.
+
+Skew: equal rows and equal sets meet first and leave one row and one set with
+its first place, by partial aggregation; of sets with several lines only the
+prefix of the first line is sent on, by its number. Then sets with a common word (``COMMON`` lines or more may hold
 it) in the prefix are compared with the first set of that word, which is one
 row a word, so groups of near copies resolve in linear work; only sets that this
 leaves undecided meet all others, by joins whose hot keys Spark can split.
@@ -44,14 +46,15 @@ RARITY_BUCKETS = 1 << 20
 COMMON = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RANK_SHIFT = 56  # a word is ordered by one number: rarity above, the low bits of its hash below
-PLACE = ["__doc", "__v1", "__v2", "__at"]
+DOC = ["__doc", "__v1", "__v2"]
 
 
 def words_of(line: Column) -> Column:
     """Sorted hashes of the distinct lower-case words of a line; splitting leaves empty words, which go by their hash."""
     ascii_only = F.octet_length(line) == F.char_length(line)
     low = F.when(ascii_only, F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
-    spaced = F.when(line.rlike(r"[\t\x0B\f\r]"), F.split(low, r"[\x20\t-\r]+")).otherwise(F.split(low, " "))
+    unusual = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\f")) | F.contains(line, F.lit("\r"))
+    spaced = F.when(unusual, F.split(low, r"[\x20\t-\r]+")).otherwise(F.split(low, " "))
     return F.sort_array(F.array_remove(F.array_distinct(F.transform(spaced, lambda w: F.xxhash64(w))), F.xxhash64(F.lit(""))))
 
 
@@ -61,11 +64,13 @@ def text_key(column: Column) -> tuple[Column, Column]:
 
 
 def lines_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Lines with their place (document id, text, line number), sorted word hashes and key; no filter, which would be pushed below and compute the words twice."""
+    """Lines with their document (id, text), line number, place (a number in the order of documents and lines), sorted word hashes and key; equal rows are one. No filter, which would be pushed below and compute the words twice."""
     v1, v2 = text_key(F.col(f"`{text}`"))
-    rows = docs.select(F.col(f"`{id_col}`").alias("__doc"), v1.alias("__v1"), v2.alias("__v2"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("__at", "line"))
-    sets = rows.select(*PLACE, words_of(F.col("line")).alias("words"))
-    return sets.select(*PLACE, "words", F.size("words").alias("n"), F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("__doc"), v1.alias("__v1"), v2.alias("__v2"), F.col(f"`{text}`").alias("__text"))
+    once = rows.groupBy(*DOC).agg(F.first("__text").alias("__text")).orderBy(*DOC)
+    split = once.select(*DOC, F.posexplode(F.split("__text", "\n")).alias("__at", "line"))
+    sets = split.select(*DOC, "__at", F.monotonically_increasing_id().alias("place"), words_of(F.col("line")).alias("words"))
+    return sets.select(*DOC, "__at", "place", "words", F.size("words").alias("n"), F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"))
 
 
 def level(count: Column) -> Column:
@@ -104,17 +109,29 @@ def parity_bits(words: Column, n: Column) -> list[Column]:
 BITS = ["p0", "p1", "p2", "p3"]
 
 
-def distinct_sets(lines: DataFrame, percent: int) -> DataFrame:
-    """One row a set, numbered (sid) in order of first places: keys, first place, lines, size, parity bits, and its prefix without words of a single line: ``skip`` words were left out, ``rare`` of the others are not common."""
-    order = lambda w: F.shiftleft(F.get(F.col("__level"), F.pmod(w, F.lit(RARITY_BUCKETS)).cast("int")).cast("bigint"), RANK_SHIFT).bitwiseOR(w.bitwiseAND(F.lit((1 << RANK_SHIFT) - 1)))
+def set_keys(lines: DataFrame) -> DataFrame:
+    """One row a set: its keys, its number (sid), which is its first place, and its lines."""
+    return lines.filter("n > 0").groupBy("k1", "k2").agg(F.min("place").alias("sid"), F.count(F.lit(1)).alias("lines"))
+
+
+def distinct_sets(lines: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """One row a set: number, size, parity bits, and its prefix without words of a single line: ``skip`` words were left out, ``rare`` of the others are not common."""
+    order = lambda w: F.shiftleft(F.get(F.col("__level"), w.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")).cast("bigint"), RANK_SHIFT).bitwiseOR(w.bitwiseAND(F.lit((1 << RANK_SHIFT) - 1)))
     common = (1 + int(2 * (COMMON.bit_length() - 1))) << RANK_SHIFT
-    held = lines.filter("n > 0").withColumn("__level", rarity(lines))
-    ranked = held.select(*PLACE, "k1", "k2", "n", *parity_bits(F.col("words"), F.col("n")), F.slice(F.sort_array(F.transform("words", order)), F.lit(1), prefix_length(F.col("n"), percent)).alias("prefix"))
-    met = F.filter("prefix", lambda x: x >= F.lit(1 << RANK_SHIFT))
-    cut = ranked.select(F.struct(*PLACE).alias("place"), "k1", "k2", "n", *BITS, F.size("prefix").alias("all"), met.alias("met"))
-    cut = cut.select("place", "k1", "k2", "n", *BITS, (F.col("all") - F.size("met")).alias("skip"), F.size(F.filter("met", lambda x: x < F.lit(common))).alias("rare"), F.transform("met", lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int")).alias("head"))
-    one = cut.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("lines"), *[F.first(c).alias(c) for c in ("n", *BITS, "skip", "rare", "head")])
-    return one.orderBy("place").withColumn("sid", F.monotonically_increasing_id())
+    repeated = keys.filter("lines > 1")
+    bits, known = bit_table(repeated.select("k1"), 1 << 16)
+    held = lines.filter("n > 0").withColumn("__level", rarity(lines)).withColumn("__bits", bits)
+
+    def cut(some: DataFrame) -> DataFrame:
+        ranked = some.select("place", "n", *parity_bits(F.col("words"), F.col("n")), F.slice(F.sort_array(F.transform("words", order)), F.lit(1), prefix_length(F.col("n"), percent)).alias("prefix"))
+        met = F.filter("prefix", lambda x: x >= F.lit(1 << RANK_SHIFT))
+        parts = ranked.select(F.col("place").alias("sid"), "n", *BITS, F.size("prefix").alias("all"), met.alias("met"))
+        return parts.select("sid", "n", *BITS, (F.col("all") - F.size("met")).alias("skip"), F.size(F.filter("met", lambda x: x < F.lit(common))).alias("rare"), F.transform("met", lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int")).alias("head"))
+
+    hit = F.coalesce(known(F.col("__bits"), F.col("k1")), F.lit(False))
+    # where the table passes a line, it may be a later line of its set: only first lines stay
+    maybe = keys.withColumn("__bits", bits).filter(F.coalesce(known(F.col("__bits"), F.col("k1")), F.lit(False))).select("sid")
+    return cut(held.filter(~hit)).union(cut(held.filter(hit)).join(maybe, "sid", "left_semi"))
 
 
 def close(a: str, b: str, percent: int) -> Column:
@@ -139,14 +156,13 @@ def matches(a: Column, b: Column, percent: int) -> Column:
     return 100 * shared >= percent * (F.size(a) + F.size(b) - shared)
 
 
-def words_by_set(lines: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def words_by_set(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     """(sid, words) of all sets in the pairs (a, b)."""
-    sids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    needed = materialize(sets.join(sids, "sid", "left_semi").select("sid", "k1", "k2", "place"), "line-needed")
-    bits, known = bit_table(needed.select("k1"), 1 << 16)
-    some = lines.withColumn("__bits", bits).filter(known(F.col("__bits"), F.col("k1"))).select("k1", "k2", F.struct(*PLACE).alias("here"), "words")
-    found = materialize(some.join(needed, ["k1", "k2"]).filter(F.col("here").eqNullSafe(F.col("place"))).select("sid", "words").dropDuplicates(["sid"]), "line-words")
-    release(needed)
+    sids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "line-needed")
+    bits, known = bit_table(sids.select(F.xxhash64("sid").alias("h")), 1 << 16)
+    some = lines.withColumn("__bits", bits).filter(known(F.col("__bits"), F.xxhash64("place"))).select(F.col("place").alias("sid"), "words")
+    found = materialize(some.join(sids, "sid", "left_semi"), "line-words")
+    release(sids)
     return found
 
 
@@ -169,7 +185,7 @@ def matched_sets(lines: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = frequent.groupBy("w").agg(F.min("sid").alias("sid"), F.min_by(F.struct("n", *BITS, "pos"), "sid").alias("x")).select("w", "sid", "x.*")
     near = frequent.alias("b").join(first.alias("a"), "w").filter((F.col("a.sid") < F.col("b.sid")) & close("a", "b", percent))
     near = materialize(near.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), apart("a", "b").alias("apart")).distinct(), "line-near")
-    words = words_by_set(lines, sets, near)
+    words = words_by_set(lines, near)
     decided = materialize(verified(near, words, percent).withColumn("done", F.lit(True)), "line-decided")
     release(near, words)
 
@@ -182,7 +198,7 @@ def matched_sets(lines: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     later_open = F.when(F.col("a.sid") < F.col("b.sid"), ~F.col("b.done")).otherwise(~F.col("a.done"))
     met = a.join(b, F.col("a.w") == F.col("b.w")).filter(smaller & shorter & later_open & close("a", "b", percent))
     pairs = materialize(met.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"), apart("a", "b").alias("apart")).distinct(), "line-pairs")
-    words = words_by_set(lines, sets, pairs)
+    words = words_by_set(lines, pairs)
     likely = materialize(verified(nearest_first(pairs), words, percent), "line-likely")
     rest = pairs.join(likely, F.col("b") == F.col("sid"), "left_anti")
     found = materialize(decided.select("sid").union(likely).union(verified(rest, words, percent)), "line-matched")
@@ -193,13 +209,15 @@ def matched_sets(lines: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """Places of the lines that go, as (__doc, __v1, __v2, __ats) a document."""
     lines = materialize(lines_of(docs, id_col, text), "lines")
-    sets = materialize(distinct_sets(lines, percent), "line-sets")
+    keys = materialize(set_keys(lines), "line-keys")
+    sets = materialize(distinct_sets(lines, keys, percent), "line-sets")
     matched = matched_sets(lines, sets, percent)
-    gone = sets.select("sid", "k1", "k2", "place", "lines").join(matched.withColumn("all", F.lit(True)), "sid", "left").filter("all OR lines > 1")
-    gone = materialize(gone.select("k1", "k2", "place", F.coalesce("all", F.lit(False)).alias("all")), "line-gone")
-    hit = lines.filter("n > 0").select("k1", "k2", *PLACE).join(gone, ["k1", "k2"]).filter(F.col("all") | ~F.struct(*PLACE).eqNullSafe(F.col("place")))
-    found = materialize(hit.groupBy("__doc", "__v1", "__v2").agg(F.collect_set("__at").alias("__ats")), "line-struck")
-    release(lines, sets, matched, gone)
+    release(sets)
+    gone = keys.join(matched.withColumn("all", F.lit(True)), "sid", "left").filter("all OR lines > 1")
+    gone = materialize(gone.select("k1", "k2", "sid", F.coalesce("all", F.lit(False)).alias("all")), "line-gone")
+    hit = lines.filter("n > 0").select("k1", "k2", *DOC, "__at", "place").join(gone, ["k1", "k2"]).filter(F.col("all") | (F.col("place") != F.col("sid")))
+    found = materialize(hit.groupBy(*DOC).agg(F.collect_set("__at").alias("__ats")), "line-struck")
+    release(lines, keys, matched, gone)
     return found
 
 

@@ -58,6 +58,22 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_are_numbered_in_order_and_sets_neither_sorted_nor_shuffled_whole(spark):
+    docs = [(2, "b c\nA b"), (2, "b c\nA b"), (1, "x"), (None, "a B\n\ny"), (3, None), (2, "a b")]
+    lines = line_dedup.lines_of(spark.createDataFrame(docs, DOCS), "doc_id", "text")
+    rows = lines.orderBy("place").collect()
+    assert len({r.place for r in rows}) == len(rows) == 7 and [(r["__doc"], r["__at"]) for r in rows[:4]] == [(None, 0), (None, 1), (None, 2), (1, 0)]
+    assert [(r["__doc"], r["__v1"], r["__v2"], r["__at"]) for r in rows[4:]] == sorted((r["__doc"], r["__v1"], r["__v2"], r["__at"]) for r in rows[4:])
+    held = common.materialize(lines, "test")
+    keys = common.materialize(line_dedup.set_keys(held), "test")
+    sets = line_dedup.distinct_sets(held, keys, 80)
+    assert {(r.sid, r.lines) for r in keys.collect()} == {(rows[0].place, 3), (rows[2].place, 1), (rows[3].place, 1), (next(r.place for r in rows[4:] if r.k1 not in {rows[0].k1}), 1)}
+    assert sorted(r.sid for r in sets.collect()) == sorted(r.sid for r in keys.collect())
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "rangepartitioning" not in plan
+    common.release(held, keys)
+
+
 def test_line_dedup_of_short_lines_against_brute_force(spark):
     rng = random.Random(4)
     docs = [(i, "\n".join(" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(8))) for _ in range(6))) for i in range(12)]
